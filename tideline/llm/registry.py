@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
 }
