@@ -28,8 +28,8 @@ METRICS = {
     "symbols": ("n_symbols", "word_chars", 60),
     "upper": ("n_upper", "word_chars", 150),
     "word_length": ("word_chars", "n_words", 2500),
-    "dup_lines": ("n_dup_lines", "n_lines", 300),
-    "repeats": ("n_repeat_words", "n_words", 200),
+    "dup_lines": ("n_dup_lines", "n_lines", 500),
+    "repeats": ("n_repeat_words", "n_words", 300),
 }
 
 #: A fence lies so many interquartile ranges beyond its quartile.

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, quality_rules, substring_dedup
+from . import ngram_jaccard, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_quality_classifier": quality_classifier.op3_quality_classifier,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op10_ngram_jaccard": ngram_jaccard.op10_ngram_jaccard,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op10_ngram_jaccard": ngram_jaccard.ORACLE_SQL,
 }
