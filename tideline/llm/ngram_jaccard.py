@@ -134,7 +134,8 @@ def signatures(doc: np.ndarray, value: np.ndarray, sizes: np.ndarray, similarity
 
 def _sums(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit identity of each row's set."""
-    total = np.concatenate([[0], np.cumsum(mix(value ^ np.uint64(SEED)), dtype=np.uint64)]).astype(np.uint64)
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(mix(value ^ np.uint64(SEED)), out=total[1:])
     edge = np.searchsorted(doc, np.arange(n + 1))
     return mix(np.diff(total[edge]) + np.diff(edge).astype(np.uint64) * np.uint64(SEED))
 

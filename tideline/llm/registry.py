@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import functools
+
+from ..shipping import ship
 from . import ngram_jaccard, quality_classifier, quality_rules, substring_dedup
 
+
+def _query(operator):
+    @functools.wraps(operator)
+    def run(spark, sf_dir):
+        ship(spark)
+        return operator(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    "op1_quality_rules": quality_rules.op1_quality_rules,
-    "op3_quality_classifier": quality_classifier.op3_quality_classifier,
-    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
-    "op10_ngram_jaccard": ngram_jaccard.op10_ngram_jaccard,
+    f.__name__: _query(f)
+    for f in (
+        quality_rules.op1_quality_rules,
+        quality_classifier.op3_quality_classifier,
+        substring_dedup.op4_substring_dedup,
+        ngram_jaccard.op10_ngram_jaccard,
+    )
 }
 
 ORACLE_SQL = {
