@@ -20,6 +20,14 @@ signature are compared in two rounds: each with the first of its group, and then
 group still spans several components, every pair from different components. Every link is
 verified on the whole sets. Links within one component are not needed for its identity, so
 large groups of near copies cost one comparison each.
+
+A signature of more than `HOT_GROUP` nodes comes from a passage that many documents hold,
+or from many near copies. Most nodes there have a few such signatures among many others;
+at 5 in 6 signatures elsewhere, a similar pair shares none of these with a chance below
+1e-7, so the second round meets such nodes in their other groups only. Nodes with
+more of their signatures in hot groups form families (whatever such groups connect), and
+each family is compared in whole, block against block, by counting shared features; only
+links that join components leave such a task.
 """
 
 from __future__ import annotations
@@ -39,6 +47,8 @@ from ._text import Words, chunks, distinct_rows, mix
 SIGNATURES = 96
 PART_SIZE = 5
 SMALL_K = 32
+HOT_GROUP = 64
+BLOCK = 512
 SEED = 0xA0761D6478BD642F
 CHOICES = list(itertools.combinations(range(5), 3))
 
@@ -181,10 +191,17 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(sig[many]), pa.array(node[many]), pa.array(np.repeat(node[start], length)[many])], ["sig", "node", "head"])
 
 
+def _pairs(found: list) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    one = distinct_rows(a, b)
+    return pa.record_batch([pa.array(a[one]), pa.array(b[one])], ["a", "b"])
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of nodes of one signature, from different components and of like sizes."""
     for sig, part, node, size in _runs(batches):
         edge = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig))
+        found, waiting = [], 0
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
             if part[lo] == part[hi - 1]:
                 continue
@@ -194,7 +211,55 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 other = other[4 * np.minimum(size[other], size[i]) >= 3 * np.maximum(size[other], size[i])]
                 if len(other):
                     a, b = np.full(len(other), node[i]), node[other]
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    found.append((np.minimum(a, b), np.maximum(a, b)))
+                    waiting += len(other)
+                if waiting > 1 << 18:
+                    yield _pairs(found)
+                    found, waiting = [], 0
+        if found:
+            yield _pairs(found)
+
+
+def block_links(table: pa.Table, share: int) -> pa.Table:
+    """Verified links (a, b) that join components, of the pairs a task's rows stand for.
+
+    Rows are (family, low, high, own, node, part, set): own is the row's block, and the task
+    compares block low with block high, or low within itself. Shared features are counted
+    by way of the postings of the right-hand rows.
+    """
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    own, node, part = (np.array(table.column(c)) for c in ("own", "node", "part"))
+    sets = table.column("set").combine_chunks()
+    sizes = np.array(sets.value_lengths(), dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    value = np.array(sets.flatten())
+    left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    posted = np.flatnonzero((own == high)[row])
+    posted = posted[np.argsort(value[posted], kind="stable")]
+    keys, rows = value[posted], row[posted]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    a, b = [], []
+    for i in left:
+        mine = value[first[i] : first[i + 1]]
+        lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(rows[at], minlength=len(sizes))[right]
+        fits = right[(1000 * common >= share * (sizes[i] + sizes[right] - common)) & (part[right] != part[i])]
+        for j in fits.tolist():
+            x, y = root(int(part[i])), root(int(part[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                a.append(int(node[i]))
+                b.append(int(node[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def jaccard_components(docs: DataFrame, similarity: float = 0.75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,6 +300,15 @@ def jaccard_components(docs: DataFrame, similarity: float = 0.75, width: int = 5
                 rows = pa.record_batch([batch.column(2).slice(row, len(sets)), sets], ["node", "set"])
                 yield rows.filter(pc.equal(rows.column(0), _long(_sums(doc, value, len(sets)))))  # an id may have other rows
 
+    def count_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                node, sets = batch.column(0).slice(k, 256), batch.column(1).slice(k, 256)
+                sizes = np.array(sets.value_lengths())
+                value = np.array(sets.flatten()).view(np.uint64)
+                row, _ = signatures(np.repeat(np.arange(len(sizes)), sizes), value, sizes, similarity)
+                yield pa.record_batch([node, pa.array(np.bincount(row, minlength=len(sizes)), pa.int64())], ["node", "total"])
+
     named = texts.filter("id is not null")
     about = stored(texts.mapInArrow(describe, "id long, n long, node long"), "sets")
     signed = named.mapInArrow(sign, "sig long, node long")
@@ -254,15 +328,33 @@ def jaccard_components(docs: DataFrame, similarity: float = 0.75, width: int = 5
         both = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
         return stored(both.filter(f"1000 * common >= {share} * (total - common)").select("a", "b"), "links")
 
+    def in_families(rows: DataFrame) -> DataFrame:
+        least = rows.groupBy("sig").agg(F.min("node").alias("head"))
+        family = stored(components(rows.join(least, "sig").select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a <> b")), "families")
+        family = family.select("node", F.col("component").alias("family"))
+        blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        whole = family.join(blocks, "family").join(rows.select("node", "part").distinct(), "node").join(sets.dropDuplicates(["node"]), "node")
+        whole = whole.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        whole = whole.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "part", "set")
+        return stored(whole.groupBy("family", "low", "high").applyInArrow(lambda t: block_links(t, share), "a long, b long"), "links")
+
     star = groups.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(star)
     parts = stored(components(links), "parts")
     placed = groups.select("sig", "node").join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part"))
     open_ = placed.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("sig")
-    placed = placed.join(open_, "sig", "left_semi").join(heads.select("node", "n"), "node").select("sig", "part", "node", "n")
-    more = placed.repartition(partitions, "sig").sortWithinPartitions("sig", "part", "node").mapInArrow(_across, "a long, b long").distinct()
+    placed = stored(placed.join(open_, "sig", "left_semi").join(heads.select("node", "n"), "node").select("sig", "part", "node", "n"), "placed")
+    hot = stored(placed.groupBy("sig").count().filter(f"count > {HOT_GROUP}").select("sig"), "hot")
+    crowded = placed.join(hot, "sig", "left_semi")
+    often = crowded.groupBy("node").agg(F.count("*").alias("n_hot"))
+    often = sets.join(often.select("node"), "node", "left_semi").mapInArrow(count_signatures, "node long, total long").join(often, "node")
+    often = stored(often.filter("6 * n_hot > total").select("node").distinct(), "often")
+    more = placed.join(hot, "sig", "left_anti")
+    more = more.repartition(partitions, "sig").sortWithinPartitions("sig", "part", "node").mapInArrow(_across, "a long, b long").distinct()
     more = more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = verified(more)
+    if not often.isEmpty():
+        more = more.unionAll(in_families(crowded.join(often, "node", "left_semi")))
     if not more.isEmpty():
         parts = stored(components(links.unionAll(more)), "parts")
     least = parts.join(heads, "node").groupBy("component").agg(F.min("id").alias("low"))
