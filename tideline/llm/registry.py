@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 from ..shipping import ship
-from . import ngram_jaccard, quality_classifier, quality_rules, substring_dedup
+from . import best_fit_packing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, token_file
 
 
 def _query(operator):
@@ -23,6 +23,8 @@ QUERIES = {
         quality_rules.op1_quality_rules,
         quality_classifier.op3_quality_classifier,
         substring_dedup.op4_substring_dedup,
+        best_fit_packing.op6_best_fit_packing,
+        token_file.op8_token_file,
         ngram_jaccard.op10_ngram_jaccard,
     )
 }
