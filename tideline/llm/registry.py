@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 from ..shipping import ship
-from . import best_fit_packing, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, token_file
+from . import best_fit_packing, byte_bpe, embedding_dedup, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, token_file
 
 
 def _query(operator):
@@ -21,8 +21,10 @@ QUERIES = {
     f.__name__: _query(f)
     for f in (
         quality_rules.op1_quality_rules,
+        byte_bpe.op2_byte_bpe,
         quality_classifier.op3_quality_classifier,
         substring_dedup.op4_substring_dedup,
+        embedding_dedup.op5_embedding_dedup,
         best_fit_packing.op6_best_fit_packing,
         token_file.op8_token_file,
         ngram_jaccard.op10_ngram_jaccard,
@@ -32,5 +34,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op5_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op10_ngram_jaccard": ngram_jaccard.ORACLE_SQL,
 }
