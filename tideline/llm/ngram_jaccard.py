@@ -27,7 +27,7 @@ at 5 in 6 signatures elsewhere, a similar pair shares none of these with a chanc
 1e-7, so the second round meets such nodes in their other groups only. Nodes with
 more of their signatures in hot groups form families (whatever such groups connect), and
 each family is compared in whole, block against block, by counting shared features; only
-links that join components leave such a task.
+links that join components leave such a task. Pairs of one family need no other comparison.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ from ._text import Words, chunks, distinct_rows, mix
 SIGNATURES = 96
 PART_SIZE = 5
 SMALL_K = 32
-HOT_GROUP = 64
+HOT_GROUP = 32
 BLOCK = 512
 SEED = 0xA0761D6478BD642F
 CHOICES = list(itertools.combinations(range(5), 3))
@@ -198,8 +198,8 @@ def _pairs(found: list) -> pa.RecordBatch:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of nodes of one signature, from different components and of like sizes."""
-    for sig, part, node, size in _runs(batches):
+    """Pairs (a, b) of nodes of one signature, from different components and families, of like sizes."""
+    for sig, part, node, size, family in _runs(batches):
         edge = np.append(np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])), len(sig))
         found, waiting = [], 0
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
@@ -208,7 +208,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(lo, hi - 1):
                 j = int(np.searchsorted(part[i:hi], part[i], side="right")) + i
                 other = np.arange(j, hi)
-                other = other[4 * np.minimum(size[other], size[i]) >= 3 * np.maximum(size[other], size[i])]
+                like = 4 * np.minimum(size[other], size[i]) >= 3 * np.maximum(size[other], size[i])
+                other = other[like & (family[other] != family[i])]
                 if len(other):
                     a, b = np.full(len(other), node[i]), node[other]
                     found.append((np.minimum(a, b), np.maximum(a, b)))
@@ -328,7 +329,7 @@ def jaccard_components(docs: DataFrame, similarity: float = 0.75, width: int = 5
         both = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
         return stored(both.filter(f"1000 * common >= {share} * (total - common)").select("a", "b"), "links")
 
-    def in_families(rows: DataFrame) -> DataFrame:
+    def in_families(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         least = rows.groupBy("sig").agg(F.min("node").alias("head"))
         family = stored(components(rows.join(least, "sig").select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a <> b")), "families")
         family = family.select("node", F.col("component").alias("family"))
@@ -336,7 +337,8 @@ def jaccard_components(docs: DataFrame, similarity: float = 0.75, width: int = 5
         whole = family.join(blocks, "family").join(rows.select("node", "part").distinct(), "node").join(sets.dropDuplicates(["node"]), "node")
         whole = whole.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         whole = whole.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "part", "set")
-        return stored(whole.groupBy("family", "low", "high").applyInArrow(lambda t: block_links(t, share), "a long, b long"), "links")
+        links = whole.groupBy("family", "low", "high").applyInArrow(lambda t: block_links(t, share), "a long, b long")
+        return stored(links, "links"), family
 
     star = groups.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(star)
@@ -349,12 +351,15 @@ def jaccard_components(docs: DataFrame, similarity: float = 0.75, width: int = 5
     often = crowded.groupBy("node").agg(F.count("*").alias("n_hot"))
     often = sets.join(often.select("node"), "node", "left_semi").mapInArrow(count_signatures, "node long, total long").join(often, "node")
     often = stored(often.filter("6 * n_hot > total").select("node").distinct(), "often")
+    inside, family = in_families(crowded.join(often, "node", "left_semi")) if not often.isEmpty() else (None, None)
     more = placed.join(hot, "sig", "left_anti")
+    more = more.join(family, "node", "left") if family is not None else more.withColumn("family", F.lit(None).cast("long"))
+    more = more.select("sig", "part", "node", "n", F.coalesce("family", "node").alias("family"))
     more = more.repartition(partitions, "sig").sortWithinPartitions("sig", "part", "node").mapInArrow(_across, "a long, b long").distinct()
     more = more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = verified(more)
-    if not often.isEmpty():
-        more = more.unionAll(in_families(crowded.join(often, "node", "left_semi")))
+    if inside is not None:
+        more = more.unionAll(inside)
     if not more.isEmpty():
         parts = stored(components(links.unionAll(more)), "parts")
     least = parts.join(heads, "node").groupBy("component").agg(F.min("id").alias("low"))
