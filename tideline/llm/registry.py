@@ -5,7 +5,18 @@ from __future__ import annotations
 import functools
 
 from ..shipping import ship
-from . import best_fit_packing, byte_bpe, embedding_dedup, ngram_jaccard, quality_classifier, quality_rules, substring_dedup, token_file
+from . import (
+    best_fit_packing,
+    byte_bpe,
+    embedding_dedup,
+    lm_scoring,
+    ngram_jaccard,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+    token_file,
+    url_filter,
+)
 
 
 def _query(operator):
@@ -26,7 +37,9 @@ QUERIES = {
         substring_dedup.op4_substring_dedup,
         embedding_dedup.op5_embedding_dedup,
         best_fit_packing.op6_best_fit_packing,
+        lm_scoring.op7_lm_scoring,
         token_file.op8_token_file,
+        url_filter.op9_url_filter,
         ngram_jaccard.op10_ngram_jaccard,
     )
 }
