@@ -329,29 +329,30 @@ def jaccard_components(docs: DataFrame, similarity: float = 0.75, width: int = 5
         both = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
         return stored(both.filter(f"1000 * common >= {share} * (total - common)").select("a", "b"), "links")
 
-    def in_families(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        least = rows.groupBy("sig").agg(F.min("node").alias("head"))
-        family = stored(components(rows.join(least, "sig").select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a <> b")), "families")
-        family = family.select("node", F.col("component").alias("family"))
+    def in_families(crowded: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
+        edges = crowded.join(often.select("node"), "node").select(F.col("head").alias("a"), F.col("node").alias("b"))
+        family = stored(components(edges.filter("a <> b")).join(often, "node"), "families")
+        family = family.select("node", "part", F.col("component").alias("family"))
         blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        whole = family.join(blocks, "family").join(rows.select("node", "part").distinct(), "node").join(sets.dropDuplicates(["node"]), "node")
+        whole = family.join(blocks, "family").join(sets.dropDuplicates(["node"]), "node")
         whole = whole.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         whole = whole.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "part", "set")
         links = whole.groupBy("family", "low", "high").applyInArrow(lambda t: block_links(t, share), "a long, b long")
-        return stored(links, "links"), family
+        return stored(links, "links"), family.select("node", "family")
 
     star = groups.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(star)
     parts = stored(components(links), "parts")
-    placed = groups.select("sig", "node").join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part"))
+    placed = groups.join(parts, "node", "left").select("sig", "node", "head", F.coalesce("component", "node").alias("part"))
     open_ = placed.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("sig")
-    placed = stored(placed.join(open_, "sig", "left_semi").join(heads.select("node", "n"), "node").select("sig", "part", "node", "n"), "placed")
+    placed = stored(placed.join(open_, "sig", "left_semi").join(heads.select("node", "n"), "node").select("sig", "part", "node", "n", "head"), "placed")
     hot = stored(placed.groupBy("sig").count().filter(f"count > {HOT_GROUP}").select("sig"), "hot")
-    crowded = placed.join(hot, "sig", "left_semi")
-    often = crowded.groupBy("node").agg(F.count("*").alias("n_hot"))
-    often = sets.join(often.select("node"), "node", "left_semi").mapInArrow(count_signatures, "node long, total long").join(often, "node")
-    often = stored(often.filter("6 * n_hot > total").select("node").distinct(), "often")
-    inside, family = in_families(crowded.join(often, "node", "left_semi")) if not often.isEmpty() else (None, None)
+    # a node meets few heads in its many hot groups, so one row for each head says as much as one for each group
+    crowded = stored(placed.join(hot, "sig", "left_semi").groupBy("head", "node", "part").agg(F.count("*").alias("n_hot")), "crowded")
+    counted = crowded.groupBy("node", "part").agg(F.sum("n_hot").alias("n_hot"))
+    often = sets.join(counted.select("node"), "node", "left_semi").mapInArrow(count_signatures, "node long, total long")
+    often = stored(often.join(counted, "node").filter("6 * n_hot > total").select("node", "part").distinct(), "often")
+    inside, family = in_families(crowded, often) if not often.isEmpty() else (None, None)
     more = placed.join(hot, "sig", "left_anti")
     more = more.join(family, "node", "left") if family is not None else more.withColumn("family", F.lit(None).cast("long"))
     more = more.select("sig", "part", "node", "n", F.coalesce("family", "node").alias("family"))
