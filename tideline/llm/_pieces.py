@@ -20,7 +20,7 @@ import pyarrow as pa
 from ._text import chunks
 
 #: A worker forgets the later half of its pieces when they take about so many bytes; early ones are common ones.
-CACHE_BYTES = 110 << 20
+CACHE_BYTES = 280 << 20
 
 
 class PieceCoder:

@@ -28,8 +28,10 @@ LENGTH = 2048
 BATCH_ROWS = 256
 
 
-def schema(length: int) -> pa.Schema:
-    return pa.schema([pa.field("ids", pa.list_(pa.uint32(), length), nullable=False), pa.field("mask", pa.list_(pa.uint8(), length), nullable=False)])
+def schema(length: int, wide: bool) -> pa.Schema:
+    """Ids take two bytes where the vocabulary allows, else four; the mask takes one."""
+    ids = pa.uint32() if wide else pa.uint16()
+    return pa.schema([pa.field("ids", pa.list_(ids, length), nullable=False), pa.field("mask", pa.list_(pa.uint8(), length), nullable=False)])
 
 
 DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -38,8 +40,9 @@ DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens
 class SequenceWriter:
     """Cuts a run of ids into sequences and writes them batch by batch."""
 
-    def __init__(self, sink, length: int):
-        self.out, self.length, self.waiting = pa.ipc.new_stream(sink, schema(length)), length, bytearray()
+    def __init__(self, sink, length: int, wide: bool):
+        self.schema = schema(length, wide)
+        self.out, self.length, self.waiting = pa.ipc.new_stream(sink, self.schema), length, bytearray()
 
     def add(self, ids: bytes) -> None:
         self.waiting += ids
@@ -54,8 +57,9 @@ class SequenceWriter:
             ids = np.concatenate([ids, np.zeros(rows * self.length - n, "<u4")])
         mask = (np.arange(rows * self.length) < n).astype(np.uint8)
         del self.waiting[:upto]
+        ids = ids.astype(self.schema.field("ids").type.value_type.to_pandas_dtype())
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
-        self.out.write_batch(pa.record_batch(lists, schema=schema(self.length)))
+        self.out.write_batch(pa.record_batch(lists, schema=self.schema))
 
     def close(self) -> None:
         if self.waiting:
@@ -110,10 +114,10 @@ def read_shard(directory: str, shard: int) -> tuple[SequenceFile, pa.Table]:
         return SequenceFile(source.read_buffer()), stream.read_all()
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, directory: str, length: int = LENGTH, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, directory: str, length: int = LENGTH, end_id: int = 1, vocabulary: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files; returns (shard, documents, tokens) of those written.
 
-    Shards ascend with ids. A null text counts as empty and has its end id alone; rows with
+    vocabulary bounds the ids and so their width. Shards ascend with ids. A null text counts as empty and has its end id alone; rows with
     a null id come first, rows that share an id stand together in the order of their
     texts. Extra columns are ignored. An empty table writes nothing.
     """
@@ -131,7 +135,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, directory: str, length: i
             for row, texts in text_slices(batch.column(1)):
                 if writer is None:
                     sinks = [files.open_output_stream(p) for p in parts.values()]
-                    writer, listed = SequenceWriter(sinks[0], length), pa.ipc.new_stream(sinks[1], DOCUMENTS)
+                    writer, listed = SequenceWriter(sinks[0], length, wide=vocabulary > 1 << 16), pa.ipc.new_stream(sinks[1], DOCUMENTS)
                 coded = [ids + end for ids in coder.encode(texts)]
                 for ids in coded:
                     writer.add(ids)
@@ -170,7 +174,7 @@ def read_documents(written: DataFrame, directory: str) -> DataFrame:
                 sequences, listed = read_shard(directory, shard)
                 for part in listed.to_batches(max_chunksize=4096):
                     starts, sizes = np.array(part.column(1)), np.array(part.column(2))
-                    crc = [zlib.crc32(np.ascontiguousarray(sequences.ids(s, s + n)).astype("<u4", copy=False)) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                    crc = [zlib.crc32(np.ascontiguousarray(sequences.ids(s, s + n).astype("<u4"))) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
                     yield pa.record_batch([part.column(0), pa.array(starts + base), part.column(2), pa.array(crc, pa.int64()), pa.array(np.full(len(part), shard), pa.int32())], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
     # one row for each file, so the running sum in one task is small
