@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,8 +27,9 @@ from ._pieces import PieceCoder, text_slices
 LONG_WORD = 256
 #: Words and tokens that one query takes at most.
 WORDS_AT_ONCE, TOKENS_AT_ONCE = 20_000, 400_000
-#: A worker forgets its words beyond so many.
-KNOWN_WORDS = 150_000
+#: A worker forgets the later half of its words beyond so many, and of its pieces beyond so many bytes.
+KNOWN_WORDS = 400_000
+PIECE_BYTES = 160 << 20
 
 CONTRACT = """
 WITH RECURSIVE t(round, w, p, tok) AS (
@@ -130,7 +132,7 @@ class ByteBpe:
         """Ids of texts, each match of the pattern separately."""
         parts = [self.split(t) for t in texts]
         if len(self.known) > KNOWN_WORDS:
-            self.known = {}
+            self.known = dict(itertools.islice(self.known.items(), KNOWN_WORDS // 2))
         known = self.known
         new = [w for w in set().union(*parts) if w not in known]
         known.update(zip(new, self.contract([w.encode() for w in new]), strict=True))
@@ -166,7 +168,7 @@ _KEPT: dict[str, tuple[ByteBpe, PieceCoder]] = {}
 def _coder(path: str) -> tuple[ByteBpe, PieceCoder]:
     if path not in _KEPT:
         bpe = ByteBpe(path)
-        _KEPT[path] = bpe, PieceCoder(bpe.code, spaced=True, cache_bytes=60 << 20)
+        _KEPT[path] = bpe, PieceCoder(bpe.code, spaced=True, cache_bytes=PIECE_BYTES)
     return _KEPT[path]
 
 
