@@ -2,8 +2,8 @@
 
 Method: the words that the public pattern finds are laid out as token-position rows. A
 recursive query joins neighbouring tokens with the merge table, picks each word's leftmost
-pair of least rank, contracts it and moves the later positions up, until no word has a pair
-left. Decoding joins ids with the vocabulary and concatenates the tokens' bytes by an
+pair of least rank and contracts it, which moves the later positions up, until no word has a
+pair left. A word that is a token itself needs no contraction. Decoding joins ids with the vocabulary and concatenates the tokens' bytes by an
 ordered aggregation. Each distinct word is contracted once for as long as a worker remembers
 it; a word of more than `LONG_WORD` bytes, for which the recursion would take a round for
 each byte, is contracted by the same rule with a heap.
@@ -32,18 +32,18 @@ KNOWN_WORDS = 400_000
 PIECE_BYTES = 160 << 20
 
 CONTRACT = """
-WITH RECURSIVE t(round, w, p, tok) AS (
-  SELECT 0, w, p, tok FROM words
+WITH RECURSIVE t(round, w, toks) AS (
+  SELECT 0, w, toks FROM words
   UNION ALL
-  (WITH pairs AS (
-     SELECT round, w, p, tok, lead(tok) OVER (PARTITION BY w ORDER BY p) AS nxt FROM t
+  (WITH positions AS (
+     SELECT w, generate_subscripts(toks[2:], 1) AS p, unnest(toks[:-2]) AS tok, unnest(toks[2:]) AS nxt FROM t
    ), best AS (
-     SELECT w, min(rank::BIGINT * 65536 + p) AS b FROM pairs JOIN merges ON pair = tok::BIGINT * 4294967296 + nxt GROUP BY w
+     SELECT w, min(rank::BIGINT * 65536 + p) AS b FROM positions JOIN merges ON pair = tok::BIGINT * 4294967296 + nxt GROUP BY w
    )
-   SELECT round + 1, pairs.w, pairs.p - CAST(pairs.p > b % 65536 AS INTEGER), CASE WHEN pairs.p = b % 65536 THEN (b // 65536)::INTEGER ELSE tok END
-   FROM pairs JOIN best ON pairs.w = best.w WHERE pairs.p <> b % 65536 + 1)
+   SELECT round + 1, t.w, list_concat(list_append(toks[: b % 65536 - 1], (b // 65536)::INTEGER), toks[b % 65536 + 2 :])
+   FROM t JOIN best ON t.w = best.w)
 )
-SELECT w, tok FROM t QUALIFY round = max(round) OVER (PARTITION BY w) ORDER BY w, p
+SELECT w, arg_max(toks, round) AS toks FROM t GROUP BY w ORDER BY w
 """
 
 #: Tokens are written as text, one character U+0000 .. U+00FF for each byte.
@@ -79,28 +79,32 @@ class ByteBpe:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def _query(self, sql: str, name: str, **columns) -> dict:
+    def _query(self, sql: str, name: str, **columns) -> pa.Table:
         self.db.register(name, pa.table(columns))
-        out = self.db.execute(sql).fetchnumpy()
+        out = self.db.sql(sql).to_arrow_table()
         self.db.unregister(name)
         return out
 
     def contract(self, words: Sequence[bytes]) -> list[bytes]:
         """Ids of words, each contracted on its own."""
         out: list[bytes] = [b""] * len(words)
-        short = [k for k, w in enumerate(words) if 0 < len(w) <= LONG_WORD]
+        short = []
         for k, w in enumerate(words):
-            if len(w) > LONG_WORD:
+            if (rank := self.ranks.get(w)) is not None:
+                out[k] = rank.to_bytes(4, "little")
+            elif len(w) > LONG_WORD:
                 out[k] = self.contract_long(w)
+            elif w:
+                short.append(k)
         for at in range(0, len(short), WORDS_AT_ONCE):
             part = short[at : at + WORDS_AT_ONCE]
             lengths = np.array([len(words[k]) for k in part])
             data = np.frombuffer(b"".join(words[k] for k in part), np.uint8)
-            w = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
-            p = (np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-            got = self._query(CONTRACT, "words", w=w, p=p, tok=self.of_byte[data])
-            edge = (np.searchsorted(got["w"], np.arange(len(part) + 1)) * 4).tolist()
-            ids = got["tok"].astype("<u4").tobytes()
+            edge = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            got = self._query(CONTRACT, "words", w=np.arange(len(part), dtype=np.int32), toks=pa.ListArray.from_arrays(edge, pa.array(self.of_byte[data])))
+            toks = got.column("toks").combine_chunks()
+            edge = (np.concatenate([[0], np.cumsum(np.array(toks.value_lengths()))]) * 4).tolist()
+            ids = np.array(toks.flatten()).astype("<u4").tobytes()
             for k, a, b in zip(part, edge[:-1], edge[1:], strict=True):
                 out[k] = ids[a:b]
         return out
@@ -156,7 +160,7 @@ class ByteBpe:
             tok = np.frombuffer(b"".join(coded[at:stop]), "<u4").astype(np.int32)
             d = np.repeat(np.arange(at, stop, dtype=np.int32), size[at:stop])
             got = self._query(DECODE, "ids", d=d, p=np.arange(len(tok), dtype=np.int32), tok=tok)
-            for k, text in zip(got["d"].tolist(), got["bytes"], strict=True):
+            for k, text in zip(got.column("d").to_pylist(), got.column("bytes").to_pylist(), strict=True):
                 out[k] = text.encode("latin-1")
             at = stop
         return out

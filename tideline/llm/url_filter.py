@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = 50_000
+#: The share of pages to block that is assumed before any word is seen.
+PRIOR = 0.3
 LONGEST_WORD = 24
 #: A run longer than this is split in windows that overlap by LONGEST_WORD.
 RUN = re.compile("[a-z]+")
@@ -95,7 +97,7 @@ class NaiveBayes:
         both = {*bad, *good}
         n_bad, n_good = sum(bad.values()) + len(both), sum(good.values()) + len(both)
         odds = {w: math.log((bad[w] + 1) / n_bad) - math.log((good[w] + 1) / n_good) for w in both}
-        return cls(odds, math.log(len(block)) - math.log(len(allow)))
+        return cls(odds, math.log(PRIOR) - math.log(1 - PRIOR))
 
     def blocks(self, words: Sequence[str]) -> tuple[bool, float]:
         score = self.prior + sum(self.odds.get(w, 0.0) for w in words)
