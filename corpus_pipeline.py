@@ -11,13 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._spark import shared_dir
+from tideline.llm._spark import prepare, shared_dir
 from tideline.llm.best_fit_packing import best_fit_packing
 from tideline.llm.ngram_jaccard import jaccard_components
 from tideline.llm.quality_classifier import quality_classifier as classify
 from tideline.llm.quality_rules import quality_rules as judge
 from tideline.llm.substring_dedup import substring_dedup as cut_repeats
-from tideline.shipping import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,26 +28,26 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the pairwise ranking rejects; labels train it where their documents are present."""
-    ship(spark)
+    prepare(spark)
     found = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _only(docs, found.filter("predicted = 1"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the rules with adaptive thresholds reject."""
-    ship(spark)
+    prepare(spark)
     return _only(docs, judge(docs).filter("kept"))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least id, of each group of near copies."""
-    ship(spark)
+    prepare(spark)
     return _only(docs, jaccard_components(docs).filter("doc_id = component_id"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of 50 words or more that an earlier document holds; drops what is left empty."""
-    ship(spark)
+    prepare(spark)
     cut = cut_repeats(docs, carry=("lang", "source"))
     left = cut.filter("n_words > n_removed")
     return left.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
@@ -58,7 +57,7 @@ def best_fit_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Packs what is left into sequences of 2048 tokens."""
     import public_tokenizers
 
-    ship(spark)
+    prepare(spark)
     return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

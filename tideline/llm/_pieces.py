@@ -17,10 +17,10 @@ from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 
-from ._text import chunks
+from ._text import HELD, chunks
 
 #: A worker forgets the later half of its pieces when they take about so many bytes; early ones are common ones.
-CACHE_BYTES = 280 << 20
+CACHE_BYTES = 100 << 20
 
 
 class PieceCoder:
@@ -34,6 +34,10 @@ class PieceCoder:
         self.first: dict[bytes, bytes | None] = {}
         self.later: dict[bytes, bytes | None] = {}
         self.held = 0
+        HELD.append(self.clear)
+
+    def clear(self) -> None:
+        self.first, self.later, self.held = {}, {}, 0
 
     def _trim(self) -> None:
         if self.held > self.cache_bytes:
@@ -78,7 +82,7 @@ class PieceCoder:
 
 def text_slices(column: pa.Array):
     """(first row, texts as bytes) of slices of bounded size; null counts as empty."""
-    for row, data, offsets in chunks(column):
+    for row, data, offsets in chunks(column, keep=True):
         raw = data.tobytes()
         at = offsets.tolist()
         yield row, [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]

@@ -22,6 +22,9 @@ MIX_2 = 0x94D049BB133111EB
 #: Texts are processed in slices of about so many bytes, which bounds the memory of a task.
 CHUNK_BYTES = 1 << 20
 
+#: What a worker keeps for its next task of the same operator; other operators drop it first.
+HELD: list = []
+
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -79,11 +82,15 @@ def raw_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES):
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, keep: bool = False):
     """Slices (first row, bytes, offsets from 0) of a column, of about `limit` bytes.
 
-    A text is never cut: one longer than the limit makes a slice of its own.
+    A text is never cut: one longer than the limit makes a slice of its own. Unless told
+    to keep them, it first drops what tokenizing has left in this worker's memory.
     """
+    if not keep:
+        for drop in HELD:
+            drop()
     data, offsets = raw_column(column)
     row, n = 0, len(offsets) - 1
     while row < n:

@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._pieces import PieceCoder, text_slices
+from ._text import HELD
 
 LONG_WORD = 256
 #: Words and tokens that one query takes at most.
 WORDS_AT_ONCE, TOKENS_AT_ONCE = 20_000, 400_000
 #: A worker forgets the later half of its words beyond so many, and of its pieces beyond so many bytes.
-KNOWN_WORDS = 400_000
-PIECE_BYTES = 160 << 20
+KNOWN_WORDS = 250_000
+PIECE_BYTES = 90 << 20
 
 CONTRACT = """
 WITH RECURSIVE t(round, w, toks) AS (
@@ -73,6 +74,7 @@ class ByteBpe:
         self._table("merges", pair=pa.array(pair, pa.int64()), rank=pa.array(rank, pa.int32()))
         self._table("vocabulary", tok=pa.array(list(self.ranks.values()), pa.int32()), bytes=pa.array([t.decode("latin-1") for t in self.ranks], pa.string()))
         self.known: dict[str, bytes] = {}
+        HELD.append(lambda: self.known.clear())
 
     def _table(self, name: str, **columns) -> None:
         self.db.register("incoming", pa.table(columns))

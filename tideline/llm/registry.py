@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 
-from ..shipping import ship
 from . import (
     best_fit_packing,
     byte_bpe,
@@ -17,12 +16,13 @@ from . import (
     token_file,
     url_filter,
 )
+from ._spark import prepare
 
 
 def _query(operator):
     @functools.wraps(operator)
     def run(spark, sf_dir):
-        ship(spark)
+        prepare(spark)
         return operator(spark, sf_dir)
 
     return run
