@@ -50,10 +50,10 @@ def blocked(plan: DataFrame) -> DataFrame:
 
 
 def tally(plan: DataFrame, state: str = "state") -> DataFrame:
-    """One row: counts by state, and the exit code. Failures outweigh unknowns, those ambiguity, that success."""
+    """One row: counts by state, and the exit code. Failures outweigh ambiguity, that unknowns, those success."""
     count = lambda *states: F.count_if(F.col(state).isin(*states))
     out = plan.agg(count("Planned").alias("planned"), count("Ambiguous").alias("ambiguous"), count("Unknown").alias("unknown"), count("Failed", "Conflict").alias("failed"))
-    code = F.when(F.col("failed") > 0, 1).when(F.col("unknown") > 0, 3).when(F.col("ambiguous") > 0, 2).otherwise(0)
+    code = F.when(F.col("failed") > 0, 1).when(F.col("ambiguous") > 0, 3).when(F.col("unknown") > 0, 2).otherwise(0)
     return out.withColumn("exit_code", code)
 
 

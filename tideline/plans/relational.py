@@ -94,7 +94,7 @@ def blocked_chain(spark, sf):
 
 
 @query("""SELECT count(*) FILTER (s = 0) AS planned, count(*) FILTER (s = 1) AS ambiguous, count(*) FILTER (s = 2) AS unknown, count(*) FILTER (s > 2) AS failed,
-CAST(CASE WHEN count(*) FILTER (s > 2) > 0 THEN 1 WHEN count(*) FILTER (s = 2) > 0 THEN 3 WHEN count(*) FILTER (s = 1) > 0 THEN 2 ELSE 0 END AS INTEGER) AS exit_code FROM (SELECT o_orderkey % 5 AS s FROM orders)""")
+CAST(CASE WHEN count(*) FILTER (s > 2) > 0 THEN 1 WHEN count(*) FILTER (s = 1) > 0 THEN 3 WHEN count(*) FILTER (s = 2) > 0 THEN 2 ELSE 0 END AS INTEGER) AS exit_code FROM (SELECT o_orderkey % 5 AS s FROM orders)""")
 def plan_tally(spark, sf):
     """A7."""
     o = table(spark, sf, "orders").withColumn("state", F.element_at(F.array(*map(F.lit, ("Planned", "Ambiguous", "Unknown", "Failed", "Conflict"))), (F.col("o_orderkey") % 5).cast("int") + 1))
