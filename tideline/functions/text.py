@@ -135,7 +135,9 @@ def shown(texts: pd.Series) -> pd.Series:
 def file_name(series: pd.Series, code: pd.Series, title: pd.Series, ext: pd.Series) -> pd.Series:
     """series - code - title.ext in at most 240 bytes; the title gives way, cut between characters."""
 
-    def one(s: str, c: str, t: str, e: str) -> str:
+    def one(s: str, c: str, t: str, e: str) -> str | None:
+        if None in (s, c, t, e):
+            return None
         frame = f"{s} - {c} - ".encode(), f".{e}".encode()
         room = max(0, 240 - sum(map(len, frame)))
         cut = t.encode()[:room].decode("utf-8", "ignore").rstrip(". ")
