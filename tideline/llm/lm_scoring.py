@@ -35,7 +35,7 @@ WIDTH = 16
 NOISE = 8
 SHARED_NOISE = 64
 BATCH_TOKENS = 20_000
-RATE = 0.1
+RATE = 0.05
 FAN_IN = 16
 
 
