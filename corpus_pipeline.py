@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._spark import prepare, shared_dir
+from tideline.llm._spark import own_dir, prepare
 from tideline.llm.best_fit_packing import best_fit_packing
 from tideline.llm.ngram_jaccard import jaccard_components
 from tideline.llm.quality_classifier import quality_classifier as classify
@@ -79,7 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/tideline/{spark.sparkContext.applicationId}/stage-{k}-{uuid.uuid4().hex}"
+            path = f"{own_dir(spark)}/stage-{k}-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -44,9 +46,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     recomputation of what led to it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tideline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    _delete(table.sparkSession, table.stored_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_OWN: set[str] = set()
+
+
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver ends in good order."""
+    path = f"{shared_dir(spark)}/tideline/{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        atexit.register(_sweep, spark, path)
+    return path
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone; then the files stay
+        _delete(spark, path)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -75,7 +106,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("k"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        links = stored(small.filter("u <> v").distinct(), "links")
+        old, links = links, stored(small.filter("u <> v").distinct(), "links")
+        discard(old)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             heads = links.select(F.col("v").alias("node")).distinct()

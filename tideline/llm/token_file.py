@@ -12,6 +12,7 @@ task that is lost or runs twice leaves one whole file. Each task holds one batch
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._pieces import library_coder, text_slices
-from ._spark import shared_dir
+from ._spark import own_dir, stored
 
 LENGTH = 2048
 BATCH_ROWS = 256
@@ -186,13 +187,9 @@ def read_documents(written: DataFrame, directory: str) -> DataFrame:
 
 def op8_token_file(spark, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every row of documents, read back from files."""
-    import uuid
-
     import public_tokenizers
 
-    from ._spark import stored
-
-    directory = f"{shared_dir(spark)}/tideline/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    directory = f"{own_dir(spark)}/tokens-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     written = stored(write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), directory), "written")
     return read_documents(written, directory).select("doc_id", "start", "n_tokens", "ids_crc32")
