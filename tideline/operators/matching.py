@@ -113,6 +113,11 @@ def shingle_hits(queries: DataFrame, postings: DataFrame) -> DataFrame:
     return once.select(F.col("doc").alias("query"), "shingle", F.col("x.cue").alias("qcue"), F.col("x.start_ms").alias("q_ms"), "x.ref", "x.rcue", "x.r_ms")
 
 
+def sound_hits(hits: DataFrame, status: DataFrame) -> DataFrame:
+    """Hits of documents within all bounds. Hits are few, so this join spares one of the texts."""
+    return hits.join(status.filter("code = 'OK'").select(F.col("doc").alias("query")), "query", "left_semi")
+
+
 def cue_pairs(hits: DataFrame) -> DataFrame:
     """(query, ref, qcue, rcue, q_ms, r_ms, support): shingles that a pair of cues shares."""
     return hits.groupBy("query", "ref", "qcue", "rcue", "q_ms", "r_ms").agg(F.count("*").alias("support"))
@@ -142,7 +147,7 @@ def outcomes(queries: DataFrame, postings: DataFrame, limits: PairLimits = DEFAU
     Error is an outcome of its own: a document beyond a bound is never called Unknown.
     """
     status = document_status(queries)
-    pairs = cue_pairs(shingle_hits(queries.join(status.filter("code = 'OK'").select("doc"), "doc", "left_semi"), postings))
+    pairs = cue_pairs(sound_hits(shingle_hits(queries, postings), status))
     guard = pair_guard(pairs, limits).filter("exceeded").select(F.col("query").alias("doc"), F.lit("TooManyCuePairs").alias("over"))
     found = ranked(candidates(pairs))
     struct = F.struct("rank", "ref", "score", "support", "offset_ms", "spread_ms", "evidence")

@@ -28,13 +28,9 @@ def _index(spark: SparkSession, sf: str) -> m.Index:
     return m.Index.build(_refs(spark, sf), LIMITS.references_most)
 
 
-def _sound(spark, sf) -> DataFrame:
-    cues = _cues(spark, sf)
-    return cues.join(m.document_status(cues).filter("code = 'OK'").select("doc"), "doc", "left_semi")
-
-
 def _hits(spark, sf) -> DataFrame:
-    return m.shingle_hits(_sound(spark, sf), _index(spark, sf).postings)
+    cues = _cues(spark, sf)
+    return m.sound_hits(m.shingle_hits(cues, _index(spark, sf).postings), m.document_status(cues))
 
 
 def cue_segments(spark, sf):
@@ -112,8 +108,9 @@ def jittered_alignment(spark, sf):
         return cues.withColumn("start_ms", F.coalesce(F.sum(F.size(words(F.col("text")))).over(before), F.lit(0)) * 400)
 
     index = m.Index.build(timed(_refs(spark, sf)), LIMITS.references_most)
-    pairs = m.cue_pairs(m.shingle_hits(timed(_sound(spark, sf)), index.postings))
-    return m.candidates(pairs).select("query", "ref", "score", "support")
+    cues = timed(_cues(spark, sf))
+    hits = m.sound_hits(m.shingle_hits(cues, index.postings), m.document_status(cues))
+    return m.candidates(m.cue_pairs(hits)).select("query", "ref", "score", "support")
 
 
 QUERIES = {f.__name__: f for f in (cue_segments, tokens, shingle_counts, shingle_occurrences, distinctive_postings, index_stats, query_unique_shingles, shingle_join, anchor_pairs, pair_limit_guard, alignment_scores, candidate_rank, match_outcome, outcome_tally, document_status, jittered_alignment)}
