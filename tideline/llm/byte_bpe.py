@@ -29,8 +29,8 @@ LONG_WORD = 256
 #: Words and tokens that one query takes at most.
 WORDS_AT_ONCE, TOKENS_AT_ONCE = 20_000, 400_000
 #: A worker forgets the later half of its words beyond so many, and of its pieces beyond so many bytes.
-KNOWN_WORDS = 250_000
-PIECE_BYTES = 90 << 20
+KNOWN_WORDS = 300_000
+PIECE_BYTES = 200 << 20
 
 CONTRACT = """
 WITH RECURSIVE t(round, w, toks) AS (
@@ -64,7 +64,10 @@ class ByteBpe:
 
     def __init__(self, path: str):
         import duckdb
+        import public_tokenizers
+        import regex
 
+        self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.ranks = read_ranks(path)
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
@@ -135,22 +138,34 @@ class ByteBpe:
         return np.array([self.ranks[t] for t in piece if t], "<u4").tobytes()
 
     def code(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts, each match of the pattern separately."""
-        parts = [self.split(t) for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known = dict(itertools.islice(self.known.items(), KNOWN_WORDS // 2))
-        known = self.known
-        new = [w for w in set().union(*parts) if w not in known]
-        known.update(zip(new, self.contract([w.encode() for w in new]), strict=True))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
-
-    def split(self, text: str) -> list[str]:
-        if not hasattr(self, "find"):
-            import public_tokenizers
-            import regex
-
-            self.find = regex.compile(public_tokenizers.PATTERN).findall
-        return self.find(text)
+        """Ids of texts, each match of the pattern separately.
+
+        Most texts are one word; those are remembered by the caller, parts of others here.
+        """
+        find, known = self.find, self.known
+        if len(known) > KNOWN_WORDS:
+            known = self.known = dict(itertools.islice(known.items(), KNOWN_WORDS // 2))
+        # letters with one space before them at most are one match
+        parts = [t if t.isalpha() or (t[1:].isalpha() and t[0] == " ") else find(t) for t in texts]
+        words: set[str] = set()
+        for p in parts:
+            if type(p) is str:
+                words.add(p)
+            else:
+                words.update(p)
+        new = [w for w in words if w not in known]
+        coded = dict(zip(new, self.contract([w.encode() for w in new]), strict=True))
+        out = []
+        for p in parts:
+            if type(p) is str:
+                ids = known.get(p)
+                out.append(coded[p] if ids is None else ids)
+            else:
+                for w in p:
+                    if w not in known:
+                        known[w] = coded[w]
+                out.append(b"".join(map(known.__getitem__, p)))
+        return out
 
     def decode(self, coded: Sequence[bytes]) -> list[bytes]:
         """Bytes of each run of ids."""
