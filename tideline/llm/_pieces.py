@@ -20,7 +20,7 @@ import pyarrow as pa
 from ._text import HELD, chunks
 
 #: A worker forgets the later half of its pieces when they take about so many bytes; early ones are common ones.
-CACHE_BYTES = 100 << 20
+CACHE_BYTES = 250 << 20
 
 
 class PieceCoder:
@@ -121,17 +121,20 @@ def library_coder(path: str, spaced: bool) -> PieceCoder:
     find = regex.compile(public_tokenizers.PATTERN if spaced else WORD_PATTERN).findall
 
     def code(texts: list[str]) -> Iterable[bytes]:
+        ids, ends = [], [0]
         for t in texts:
-            if not spaced:
-                t = t.lower() if t.isascii() or max(t, default="") < "\u0250" else t
-            plain = t.isascii()
-            if plain and t[spaced:].isalpha() and t[0] in (" " if spaced else t):
-                ids = [x.id for x in tokenize("\u0120" + t[1:] if spaced else t)]
-            elif plain or max(t) < "\u0250":
-                ids = [x.id for w in find(t) for x in tokenize(w.encode().decode("latin-1").translate(alphabet))]
+            if not spaced and (t.isascii() or max(t, default="") < "\u0250"):
+                t = t.lower()
+            word = t[spaced:]
+            if word.isascii() and word.isalpha() and (not spaced or t[0] == " "):
+                ids += [x.id for x in tokenize("\u0120" + word if spaced else word)]
+            elif t.isascii() or max(t) < "\u0250":
+                ids += [x.id for w in find(t) for x in tokenize(w.encode().decode("latin-1").translate(alphabet))]
             else:
-                ids = tokenizer.encode(t, add_special_tokens=False).ids
-            yield array("I", ids).tobytes()
+                ids += tokenizer.encode(t, add_special_tokens=False).ids
+            ends.append(4 * len(ids))
+        raw = array("I", ids).tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
     _LIBRARY[path] = PieceCoder(code, spaced)
     return _LIBRARY[path]
