@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tideline.llm import best_fit_packing, byte_bpe, embedding_dedup, token_file, url_filter
-from tideline.llm._pieces import library_coder
+from tideline.llm._pieces import WholeTextCoder, library_coder
 
 from .edges import awkward, frame, key
 
@@ -43,6 +43,12 @@ def test_pieces_equal_the_library(path, spaced):
         assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_whole_texts_equal_the_library():
+    coder, whole = WholeTextCoder(BYTES), library(BYTES)
+    texts = [*odd_texts(), "x" + " " * 2000 + "y", "\n" * 5000, "é" * 3000, "a" * 20_000, "\u0240\u0370"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode([t.encode() for t in texts])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_byte_bpe(spark):
     import tiktoken
 

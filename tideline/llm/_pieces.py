@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 from array import array
 from collections.abc import Callable, Iterable
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from ._text import HELD, chunks
 
 #: A worker forgets the later half of its pieces when they take about so many bytes; early ones are common ones.
-CACHE_BYTES = 250 << 20
+CACHE_BYTES = 180 << 20
 
 
 class PieceCoder:
@@ -138,3 +139,45 @@ def library_coder(path: str, spaced: bool) -> PieceCoder:
 
     _LIBRARY[path] = PieceCoder(code, spaced)
     return _LIBRARY[path]
+
+
+class WholeTextCoder:
+    """Byte-level BPE of whole texts by tiktoken, from the vocabulary of a tokenizers file.
+
+    Both libraries contract by rank, and such a file numbers its tokens in the order of their
+    merges, so ids are the same. Where their character classes might differ (characters from
+    U+0240 on) or the pattern would backtrack far (long runs of white space), the
+    tokenizers library codes the text.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        byte_of = {c: b for b, c in byte_alphabet().items()}
+        ranks = {bytes(map(byte_of.__getitem__, t)): n for t, n in vocabulary.items() if all(c in byte_of for c in t)}
+        self.encode_ordinary = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.odd = re.compile(rb"[\xc9-\xff]|[\t-\r ]{300}").search
+        self.path = path
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        out = []
+        for t in texts:
+            if self.odd(t):
+                out += library_coder(self.path, spaced=True).code([t.decode("utf-8", "replace")])
+            else:
+                out.append(array("I", self.encode_ordinary(t.decode())).tobytes())
+        return out
+
+
+_WHOLE: dict[str, WholeTextCoder] = {}
+
+
+def whole_text_coder(path: str) -> WholeTextCoder:
+    if path not in _WHOLE:
+        _WHOLE[path] = WholeTextCoder(path)
+    return _WHOLE[path]

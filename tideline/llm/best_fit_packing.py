@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._pieces import library_coder, text_slices
+from ._pieces import text_slices, whole_text_coder
 from ._spark import stored
 
 LENGTH = 2048
@@ -62,7 +62,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id:
     """(doc, row, piece, start, length, ids_crc32[, ids]) of the pieces of each text's ids with its end id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = library_coder(tokenizer, spaced=True), np.array([end_id], "<u4").tobytes()
+        coder, end = whole_text_coder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for row, texts in text_slices(batch.column(1)):
                 doc, piece, start, size, crc, kept = [], [], [], [], [], []
