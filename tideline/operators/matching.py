@@ -33,19 +33,25 @@ def cue_segments(texts: DataFrame, doc: str, text: str, spacing_ms: int = 10_000
 
 def document_status(cues: DataFrame) -> DataFrame:
     """(doc, n_cues, code): OK, or the first bound of the model that a document breaks."""
-    w = words(F.col("text"))
-    longest = F.coalesce(F.array_max(F.transform(w, F.octet_length)), F.lit(0))
+    # a word of more bytes than allowed has a run of this many letters or digits at least
+    run = LIMITS.word_bytes // 4 - 2
+    long = F.when(F.col("text").rlike(rf"[\p{{IsAlphabetic}}\p{{N}}]{{{run},}}"), F.array_max(F.transform(words(F.col("text")), F.octet_length)))
+    count = F.size(F.filter(F.split("text", r"[^\p{IsAlphabetic}\p{N}]+"), lambda x: x != ""))
     per = cues.groupBy("doc").agg(
         F.count("*").alias("n_cues"), F.max(F.octet_length("text")).alias("cue_bytes"), F.sum(F.octet_length("text")).alias("bytes"),
-        F.sum(F.size(w)).alias("n_words"), F.max(longest).alias("word_bytes"), F.max((F.col("text").rlike(r"[\p{Cc}&&[^\n\t]]")).cast("int")).alias("controls"),
+        F.sum(count).alias("n_words"), F.max(F.coalesce(long, F.lit(0))).alias("word_bytes"), F.max((F.col("text").rlike(r"[\p{Cc}&&[^\n\t]]")).cast("int")).alias("controls"),
     )
     code = F.when(F.col("n_cues") > LIMITS.cues, "TooManyCues").when((F.col("cue_bytes") > LIMITS.cue_bytes) | (F.col("bytes") > LIMITS.text_bytes), "CueTooLarge").when(F.col("controls") > 0, "ControlCharacter").when(F.col("n_words") > LIMITS.words, "TooManyWords").when(F.col("word_bytes") > LIMITS.word_bytes, "WordTooLong")
     return per.select("doc", "n_cues", code.otherwise("OK").alias("code"))
 
 
 def shingle_rows(cues: DataFrame) -> DataFrame:
-    """One row for each shingle occurrence; shingles never cross cues."""
-    return cues.select("doc", "cue", "start_ms", F.explode(shingles(words(F.col("text")))).alias("shingle"))
+    """One row for each shingle occurrence; shingles never cross cues.
+
+    Words are a column of their own, or every window would split its text anew.
+    """
+    split = cues.select("doc", "cue", "start_ms", words(F.col("text")).alias("w"))
+    return split.select("doc", "cue", "start_ms", F.explode(shingles(F.col("w"))).alias("shingle"))
 
 
 def occurrences(rows: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def tokens(spark, sf):
 
 
 def shingle_counts(spark, sf):
-    made = _cues(spark, sf).select("doc", F.size(shingles(words(F.col("text")))).alias("n"))
+    made = _cues(spark, sf).select("doc", words(F.col("text")).alias("w")).select("doc", F.size(shingles(F.col("w"))).alias("n"))
     return made.groupBy("doc").agg(F.sum("n").alias("n_shingles"))
 
 
