@@ -21,7 +21,7 @@ EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
 
 def odd_texts():
     rng = np.random.default_rng(8)
-    parts = ["a", "B", " ", "  ", "\n", "\t", "'s", "'", "é", "e\u0301", "19", "!", "İ", "Σ", "ς", "\x1c", "\r\n", "中", "<|endoftext|>", "\x85", "😀", "\u00a0"]
+    parts = ["a", "B", " ", "  ", "\n", "\t", "'s", "'", "é", "e\u0301", "J\u030c", "19", "!", "İ", "Σ", "ς", "\x1c", "\r\n", "中", "<|endoftext|>", "\x85", "😀", "\u00a0"]
     return ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(1500)] + [t for _, t, _, _ in awkward() if t is not None]
 
 
@@ -141,7 +141,7 @@ def test_token_files(spark, tmp_path, vocabulary):
     assert known == sorted(known)
     for part in written.collect():
         sequences, listed = token_file.read_shard(f"file://{tmp_path}/t", part.shard)
-        masks = np.concatenate([sequences[k][1] for k in range(len(sequences))])
+        masks = np.concatenate([sequences.mask(k) for k in range(len(sequences))])
         assert masks.sum() == part.tokens == sum(listed.column("n_tokens").to_pylist()) and masks[: part.tokens].all()
         got, mask = sequences[0]
         assert not got.flags.owndata and not mask.flags.owndata and len(got) == 32 and got.dtype.itemsize == (2 if vocabulary == 1 << 16 else 4)

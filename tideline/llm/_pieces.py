@@ -27,7 +27,8 @@ CACHE_BYTES = 180 << 20
 class PieceCoder:
     """code() gives the ids of each of a list of strings, every one taken as a whole text.
 
-    spaced: a piece is a word with one space before it, else a word between white space.
+    spaced: a piece is a word with one space before it, else a word between white space,
+    for a tokenizer that lower-cases.
     """
 
     def __init__(self, code: Callable[[list[str]], Iterable[bytes]], spaced: bool, cache_bytes: int = CACHE_BYTES):
@@ -65,7 +66,8 @@ class PieceCoder:
         self._trim()
         join = b"".join
         if not self.spaced:
-            parts = [t.split() for t in texts]
+            # the tokenizer lower-cases; doing so for A-Z first changes nothing unless a combining mark follows
+            parts = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
             self._learn(self.later, set().union(*parts), "")
             return [join(map(self.later.__getitem__, p)) for p in parts]
         parts = [t.split(b" ") for t in texts]

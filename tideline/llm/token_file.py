@@ -2,7 +2,7 @@
 
 Method: documents are dealt to shards by ranges of their id, and each shard writes its ids
 in ascending order into one Arrow stream whose rows are sequences of `length` ids and a mask
-of as many bytes (1 for an id, 0 for filling at the shard's end). Rows have equal length and
+of as many bits, lowest bit first (1 for an id, 0 for filling at the shard's end). Rows have equal length and
 buffers are uncompressed, so a reader that maps the file reaches sequence k by
 arithmetic, without decoding or copying. A second stream beside it lists the documents.
 
@@ -30,9 +30,9 @@ BATCH_ROWS = 256
 
 
 def schema(length: int, wide: bool) -> pa.Schema:
-    """Ids take two bytes where the vocabulary allows, else four; the mask takes one."""
+    """Ids take two bytes where the vocabulary allows, else four; the mask takes a bit."""
     ids = pa.uint32() if wide else pa.uint16()
-    return pa.schema([pa.field("ids", pa.list_(ids, length), nullable=False), pa.field("mask", pa.list_(pa.uint8(), length), nullable=False)])
+    return pa.schema([pa.field("ids", pa.list_(ids, length), nullable=False), pa.field("mask", pa.list_(pa.uint8(), -(-length // 8)), nullable=False)])
 
 
 DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -56,10 +56,10 @@ class SequenceWriter:
         n = len(ids)
         if n < rows * self.length:
             ids = np.concatenate([ids, np.zeros(rows * self.length - n, "<u4")])
-        mask = (np.arange(rows * self.length) < n).astype(np.uint8)
+        mask = np.packbits((np.arange(rows * self.length) < n).reshape(rows, -1), axis=1, bitorder="little")
         del self.waiting[:upto]
         ids = ids.astype(self.schema.field("ids").type.value_type.to_pandas_dtype())
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), n) for x, n in ((ids, self.length), (mask, mask.shape[1]))]
         self.out.write_batch(pa.record_batch(lists, schema=self.schema))
 
     def close(self) -> None:
@@ -69,7 +69,7 @@ class SequenceWriter:
 
 
 class SequenceFile:
-    """Random access to the sequences of one stream; ids and masks are views of the buffer."""
+    """Random access to the sequences of one stream: file[k] is the ids and the mask's bits, both views of the buffer."""
 
     def __init__(self, source: pa.Buffer):
         with pa.ipc.open_stream(source) as stream:
@@ -86,6 +86,11 @@ class SequenceFile:
         row = k - int(self.first[b])
         return tuple(self._flat(b, c)[row] for c in (0, 1))
 
+    def mask(self, k: int) -> np.ndarray:
+        """Which places of sequence k hold ids."""
+        ids, bits = self[k]
+        return np.unpackbits(bits, count=len(ids), bitorder="little").astype(bool)
+
     def _flat(self, batch: int, column: int) -> np.ndarray:
         lists = self.batches[batch].column(column)
         return lists.flatten().to_numpy(zero_copy_only=True).reshape(len(lists), -1)
