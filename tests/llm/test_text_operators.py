@@ -165,6 +165,17 @@ def test_jaccard_near_the_threshold(spark, size):
     assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got) == sorted(plain_components(rows))
 
 
+def test_jaccard_beside_many_copies(spark):
+    """Supersets and a subset at 0.75 to 0.76 of one near copy among many, so that what they share is shared by all copies."""
+    base = [f"w{k}" for k in range(303)]
+    rows = [(k, " ".join([*base, f"own{k}"]), None, None) for k in range(120)]
+    rows += [(1000 + k, " ".join([*base, f"own{k}", *(f"s{k}x{j}" for j in range(98))]), None, None) for k in range(40, 60)]
+    rows += [(2000, " ".join([*base, "own70"][-230:]), None, None)]
+    got = ngram_jaccard.jaccard_components(frame(spark, rows, clash=False)).collect()
+    assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got) == sorted(plain_components(rows))
+    assert {r.component_id for r in got} == {0}
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     rng = np.random.default_rng(1)
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(8, 40)] + [(300, 300), (500, None)] + [(int(a), int(b)) for a, b in rng.integers(600, 700, (60, 2))]

@@ -22,12 +22,11 @@ verified on the whole sets. Links within one component are not needed for its id
 large groups of near copies cost one comparison each.
 
 A signature of more than `HOT_GROUP` nodes comes from a passage that many documents hold,
-or from many near copies. Most nodes there have a few such signatures among many others;
-at 5 in 6 signatures elsewhere, a similar pair shares none of these with a chance below
-1e-7, so the second round meets such nodes in their other groups only. Nodes with
-more of their signatures in hot groups form families (whatever such groups connect), and
-each family is compared in whole, block against block, by counting shared features; only
-links that join components leave such a task. Pairs of one family need no other comparison.
+or from many near copies. In the second round its nodes are not paired row by row: the nodes
+of hot groups form families (whatever such groups connect), and each family is compared in
+whole, block against block, by counting shared features. Blocks hold nodes of like sizes, and
+only blocks whose sizes allow the similarity meet; only links that join components leave such
+a task. Pairs of one family need no other comparison.
 """
 
 from __future__ import annotations
@@ -224,7 +223,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def block_links(table: pa.Table, share: int) -> pa.Table:
     """Verified links (a, b) that join components, of the pairs a task's rows stand for.
 
-    Rows are (family, low, high, own, node, part, set): own is the row's block, and the task
+    Rows are (family, low, high, own, node, part, set): own is the row's block; the task
     compares block low with block high, or low within itself. Shared features are counted
     by way of the postings of the right-hand rows.
     """
@@ -248,6 +247,8 @@ def block_links(table: pa.Table, share: int) -> pa.Table:
 
     a, b = [], []
     for i in left:
+        if (part[right] == part[i]).all():
+            continue
         mine = value[first[i] : first[i + 1]]
         lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
         n = hi - lo
@@ -301,15 +302,6 @@ def jaccard_components(docs: DataFrame, similarity: float = 0.75, width: int = 5
                 rows = pa.record_batch([batch.column(2).slice(row, len(sets)), sets], ["node", "set"])
                 yield rows.filter(pc.equal(rows.column(0), _long(_sums(doc, value, len(sets)))))  # an id may have other rows
 
-    def count_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                node, sets = batch.column(0).slice(k, 256), batch.column(1).slice(k, 256)
-                sizes = np.array(sets.value_lengths())
-                value = np.array(sets.flatten()).view(np.uint64)
-                row, _ = signatures(np.repeat(np.arange(len(sizes)), sizes), value, sizes, similarity)
-                yield pa.record_batch([node, pa.array(np.bincount(row, minlength=len(sizes)), pa.int64())], ["node", "total"])
-
     named = texts.filter("id is not null")
     about = stored(texts.mapInArrow(describe, "id long, n long, node long"), "sets")
     signed = named.mapInArrow(sign, "sig long, node long")
@@ -329,13 +321,16 @@ def jaccard_components(docs: DataFrame, similarity: float = 0.75, width: int = 5
         both = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
         return stored(both.filter(f"1000 * common >= {share} * (total - common)").select("a", "b"), "links")
 
-    def in_families(crowded: DataFrame, often: DataFrame) -> tuple[DataFrame, DataFrame]:
-        edges = crowded.join(often.select("node"), "node").select(F.col("head").alias("a"), F.col("node").alias("b"))
-        family = stored(components(edges.filter("a <> b")).join(often, "node"), "families")
-        family = family.select("node", "part", F.col("component").alias("family"))
-        blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        whole = family.join(blocks, "family").join(sets.dropDuplicates(["node"]), "node")
-        whole = whole.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    def in_families(crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+        family = components(crowded.select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a <> b")).withColumnRenamed("component", "family")
+        family = stored(family.join(crowded.select("node", "part", "n").distinct(), "node"), "families")
+        # similar sizes differ by a factor of 4/3 at most, so similar nodes are in one band or in neighbouring ones
+        banded = family.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.34))))
+        blocks = banded.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        near = blocks.withColumn("code", F.expr("explode(transform(sequence(0L, blocks - 1), x -> (band << 32) + x))"))
+        near = near.select("family", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), F.col("code").alias("other"))
+        whole = banded.join(blocks, ["family", "band"]).withColumn("own", F.expr("(band << 32) + pmod(xxhash64(node), blocks)"))
+        whole = whole.join(sets.dropDuplicates(["node"]), "node").join(near, ["family", "band"])
         whole = whole.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "part", "set")
         links = whole.groupBy("family", "low", "high").applyInArrow(lambda t: block_links(t, share), "a long, b long")
         return stored(links, "links"), family.select("node", "family")
@@ -348,11 +343,8 @@ def jaccard_components(docs: DataFrame, similarity: float = 0.75, width: int = 5
     placed = stored(placed.join(open_, "sig", "left_semi").join(heads.select("node", "n"), "node").select("sig", "part", "node", "n", "head"), "placed")
     hot = stored(placed.groupBy("sig").count().filter(f"count > {HOT_GROUP}").select("sig"), "hot")
     # a node meets few heads in its many hot groups, so one row for each head says as much as one for each group
-    crowded = stored(placed.join(hot, "sig", "left_semi").groupBy("head", "node", "part").agg(F.count("*").alias("n_hot")), "crowded")
-    counted = crowded.groupBy("node", "part").agg(F.sum("n_hot").alias("n_hot"))
-    often = sets.join(counted.select("node"), "node", "left_semi").mapInArrow(count_signatures, "node long, total long")
-    often = stored(often.join(counted, "node").filter("6 * n_hot > total").select("node", "part").distinct(), "often")
-    inside, family = in_families(crowded, often) if not often.isEmpty() else (None, None)
+    crowded = stored(placed.join(hot, "sig", "left_semi").select("head", "node", "part", "n").distinct(), "crowded")
+    inside, family = in_families(crowded) if not crowded.isEmpty() else (None, None)
     more = placed.join(hot, "sig", "left_anti")
     more = more.join(family, "node", "left") if family is not None else more.withColumn("family", F.lit(None).cast("long"))
     more = more.select("sig", "part", "node", "n", F.coalesce("family", "node").alias("family"))
