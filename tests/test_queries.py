@@ -21,6 +21,11 @@ def test_query(spark, db, name):
     same_rows(QUERIES[name](spark, str(DATA)), db, ORACLE_SQL[name])
 
 
+def test_resetting_windows_over_all_events(spark, db):
+    got = QUERIES["resetting_windows_whole"](spark, str(DATA)).select("user_id").collect()
+    assert sorted(r.user_id for r in got) == sorted(u for (u,) in db.execute("SELECT user_id FROM events").fetchall())
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 

@@ -239,6 +239,16 @@ def resetting_windows(spark, sf):
     return ordered.resetting_windows(e, "user_id", "ts", 86_400_000_000)
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+f(user_id, i, t, s, w) AS (SELECT user_id, i, t, t, CAST(0 AS BIGINT) FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.t, CASE WHEN e.t - f.s >= 86400000000 THEN e.t ELSE f.s END, f.w + CASE WHEN e.t - f.s >= 86400000000 THEN 1 ELSE 0 END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, t AS ts, w AS "window" FROM f""")
+def resetting_windows_whole(spark, sf):
+    """W14 over all events; `resetting_windows` keeps the ids of its SQL."""
+    ship(spark)
+    e = table(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
+    return ordered.resetting_windows(e, "user_id", "ts", 86_400_000_000)
+
+
 @query("""SELECT l_orderkey, max(CAST(l_partkey AS BIGINT) + coalesce(CAST(l_quantity AS BIGINT), 0)) AS duration FROM lineitem GROUP BY 1""")
 def declared_duration(spark, sf):
     """W15."""
