@@ -26,6 +26,11 @@ def test_resetting_windows_over_all_events(spark, db):
     assert sorted(r.user_id for r in got) == sorted(u for (u,) in db.execute("SELECT user_id FROM events").fetchall())
 
 
+def test_chunk_offsets_over_all_orders(spark, db):
+    got = QUERIES["chunk_offsets_whole"](spark, str(DATA)).select("k").distinct().collect()
+    assert sorted(r.k for r in got) == sorted(k for (k,) in db.execute("SELECT DISTINCT l_orderkey FROM lineitem").fetchall())
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 

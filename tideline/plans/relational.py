@@ -302,6 +302,12 @@ def presentation_times(spark, sf):
     return ordered.sync_flags(ordered.presentation_times(_samples(spark, sf), offsets, ["l_orderkey"]), sync, ["l_orderkey"]).select("l_orderkey", "sample", "dts", "pts", "sync")
 
 
+def _offsets_of(runs: DataFrame) -> DataFrame:
+    chunks = runs.groupBy("k").agg((F.max("first_chunk") + 1).alias("m")).select("k", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("chunk")).withColumn("offset", F.col("chunk") * 1000)
+    sizes = runs.select("k").distinct().select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("sample")).withColumn("size", 10 + F.col("sample") % 5)
+    return ordered.chunk_offsets(chunks, runs, sizes, ["k"])
+
+
 @query(f"""WITH runs AS (SELECT l_orderkey AS k, l_linenumber * 2 - 1 AS first_chunk, CAST(l_quantity AS BIGINT) % 3 + 1 AS per FROM {LINES} WHERE l_orderkey <= 400),
 n AS (SELECT k, max(first_chunk) + 1 AS m FROM runs GROUP BY k), chunks AS (SELECT k, unnest(range(1, m + 1)) AS chunk FROM n),
 held AS (SELECT c.k, c.chunk, r.per, CAST(c.chunk * 1000 AS BIGINT) AS base FROM chunks c ASOF JOIN runs r ON c.k = r.k AND c.chunk >= r.first_chunk),
@@ -312,9 +318,20 @@ SELECT k, sample, CAST(base + coalesce(sum(size) OVER (PARTITION BY k, chunk ORD
 def chunk_offsets(spark, sf):
     """Chunks, runs and sizes to offsets; surplus chunks are ignored."""
     runs = lines(spark, sf).filter("l_orderkey <= 400").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 2 - 1).cast("long").alias("first_chunk"), (F.col("l_quantity").cast("long") % 3 + 1).alias("per_chunk"))
-    chunks = runs.groupBy("k").agg((F.max("first_chunk") + 1).alias("m")).select("k", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("chunk")).withColumn("offset", F.col("chunk") * 1000)
-    sizes = runs.select("k").distinct().select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("sample")).withColumn("size", 10 + F.col("sample") % 5)
-    return ordered.chunk_offsets(chunks, runs, sizes, ["k"])
+    return _offsets_of(runs)
+
+
+@query(f"""WITH runs AS (SELECT l_orderkey AS k, l_linenumber * 2 - 1 AS first_chunk, CAST(l_quantity AS BIGINT) % 3 + 1 AS per FROM {LINES}),
+n AS (SELECT k, max(first_chunk) + 1 AS m FROM runs GROUP BY k), chunks AS (SELECT k, unnest(range(1, m + 1)) AS chunk FROM n),
+held AS (SELECT c.k, c.chunk, r.per, CAST(c.chunk * 1000 AS BIGINT) AS base FROM chunks c ASOF JOIN runs r ON c.k = r.k AND c.chunk >= r.first_chunk),
+firsts AS (SELECT *, CAST(coalesce(sum(per) OVER (PARTITION BY k ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM held),
+placed AS (SELECT k, chunk, base, before + i AS sample FROM (SELECT *, unnest(range(per)) AS i FROM firsts)),
+sized AS (SELECT *, 10 + sample % 5 AS size FROM placed WHERE sample < 12)
+SELECT k, sample, CAST(base + coalesce(sum(size) OVER (PARTITION BY k, chunk ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", size FROM sized""")
+def chunk_offsets_whole(spark, sf):
+    """C2, C8, J12 over all orders; `chunk_offsets` keeps the ids of its SQL."""
+    runs = lines(spark, sf).select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 2 - 1).cast("long").alias("first_chunk"), (F.col("l_quantity").cast("long") % 3 + 1).alias("per_chunk"))
+    return _offsets_of(runs)
 
 
 @query("""WITH e AS (SELECT l_orderkey AS k, l_linenumber AS item, CAST(l_partkey AS BIGINT) AS s, CAST(l_quantity AS BIGINT) AS n FROM lineitem), b AS (SELECT o_orderkey AS k, o_custkey AS lo, o_custkey + 1000 AS hi FROM orders)
