@@ -235,6 +235,17 @@ def test_url_filter(spark):
     assert url_filter.url_filter(table.limit(0)).count() == 0
 
 
+def test_host_names_do_not_teach_themselves(spark):
+    """Names that run words together are split whatever the table holds beside them."""
+    rows = [(1, "http://bestcasinobonus.example.org/en/1"), (2, "http://adultx.example.org/en/2"), (3, "http://citylibrary.example.org/en/3")]
+    many = [(10 + k, f"http://host{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}.example.org/en/p{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}q") for k in range(3000)]
+    for more in ([], many):
+        got = url_filter.url_filter(spark.createDataFrame(rows + more, "page_id long, url string"))
+        by = {r.page_id: r for r in got.filter("page_id < 10").collect()}
+        assert [by[k].words[:n] for k, n in ((1, 3), (2, 2), (3, 2))] == [["best", "casino", "bonus"], ["adult", "x"], ["city", "library"]]
+        assert [by[k].verdict for k in (1, 2, 3)] == ["block", "block", "allow"]
+
+
 def test_segmentation_against_every_split():
     import itertools
 

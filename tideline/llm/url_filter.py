@@ -2,18 +2,18 @@
 
 Method: host names run words together, so every letter run of a host or path is split by
 a unigram Viterbi search: the split whose words have the largest product of probabilities,
-unknown words costing a factor of ten for each letter. Word counts come from the letter runs
-of all URLs of the table, plus the words of the training phrases. The words go to a
+unknown words costing a factor of ten for each letter. Word counts come from the path words
+of all URLs of the table; a host's run is often several words in one and teaches none. Words of
+the training phrases have a share of `PHRASE_SHARE` at least, so that they are found in tables
+of any size. The words go to a
 multinomial naive Bayes model with add-one smoothing, trained on labelled phrases.
 
-Only distinct hosts and path words are segmented; the word table sent to the executors holds
-the `VOCABULARY` most frequent runs (others count as unknown), so its size is bounded.
+Only distinct runs are segmented; the counts of all words that stand in a run come by a join.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = 50_000
+from ._spark import stored
+
+#: The least probability of a word of the training phrases.
+PHRASE_SHARE = 1e-4
 #: The share of pages to block that is assumed before any word is seen.
 PRIOR = 0.3
 LONGEST_WORD = 24
-#: A run longer than this is split in windows that overlap by LONGEST_WORD.
-RUN = re.compile("[a-z]+")
 
 #: Fixed values: (host and path prefix, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -126,11 +127,32 @@ def rule_of(host, path, rules: Sequence[tuple[str, str]]):
     return F.coalesce(*fitting) if fitting else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def word_counts(urls: DataFrame, vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the most frequent letter runs of hosts and paths, of two letters or more."""
-    runs = urls.select(F.explode(F.expr("regexp_extract_all(concat(host, ' ', lower(path)), '[a-z]+', 0)")).alias("w"))
-    runs = runs.filter(f"length(w) between 2 and {LONGEST_WORD}").groupBy("w").agg(F.count("*").alias("n"))
-    return {r.w: r.n for r in runs.orderBy(F.desc("n"), "w").limit(vocabulary).collect()}
+def word_counts(urls: DataFrame) -> DataFrame:
+    """(w, n): how often each path word of two to LONGEST_WORD letters stands in the URLs."""
+    runs = urls.select(F.explode(F.expr("regexp_extract_all(lower(path), '[a-z]+', 0)")).alias("w"))
+    return runs.filter(f"length(w) between 2 and {LONGEST_WORD}").groupBy("w").agg(F.count("*").alias("n"))
+
+
+def segmented(runs: DataFrame, counts: DataFrame, phrase_words: Counter) -> DataFrame:
+    """(run, split): the words of each of the distinct runs."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = {w: max(n, 20, PHRASE_SHARE * total) for w, n in phrase_words.items()}
+    total += sum(least.values())
+    pieces = f"transform(sequence(1, length(run) - 1), i -> transform(sequence(2, least({LONGEST_WORD}, length(run) - i + 1)), n -> substring(run, i, n)))"
+    pieces = runs.filter("length(run) > 1").select("run", F.explode(F.expr(f"array_distinct(flatten({pieces}))")).alias("w"))
+    found = pieces.join(counts, "w").groupBy("run").agg(F.collect_list("w").alias("ws"), F.collect_list("n").alias("ns"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for run, ws, ns in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                # a phrase word outweighs a run that merely contains it: runs teach counts, phrases teach words
+                known = {w: n for w, n in zip(ws or (), ns or (), strict=True) if w in phrase_words or not _composed(w, phrase_words)}
+                known = {w: known.get(w, 0) + least.get(w, 0) for w in {*known, *(w for w in least if w in run)}}
+                out.append(Words({w: math.log10(n / total) for w, n in known.items()}, total).split(run))
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["run", "split"])
+
+    return runs.join(found, "run", "left").select("run", "ws", "ns").mapInArrow(split, "run string, split array<string>")
 
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, block: Sequence[str] = BLOCK_PHRASES, allow: Sequence[str] = ALLOW_PHRASES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -144,34 +166,21 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, block
     """
     host, path = parts(F.col(url_col).cast("string"))
     urls = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
-    counts = Counter(word_counts(urls))
+    urls = stored(urls.withColumn("k", F.monotonically_increasing_id()), "urls")
     phrase_words = Counter(w for p in (*block, *allow, *COMMON_PHRASES) for w in p.split())
-    # a phrase word outweighs a run that merely contains it: runs teach counts, phrases teach words
-    for w, n in phrase_words.items():
-        counts[w] += max(n, 20)
-    counts = {w: n for w, n in counts.items() if w in phrase_words or not _composed(w, phrase_words)}
-    shared = pages.sparkSession.sparkContext.broadcast((Words.of(counts), NaiveBayes.of(block, allow)))
+    runs = urls.select("k", F.posexplode(F.expr("regexp_extract_all(concat(host, ' ', lower(path)), '[a-z]+', 0)")).alias("at", "run"))
+    splits = stored(segmented(runs.select("run").distinct(), stored(word_counts(urls), "counts"), phrase_words), "splits")
+    words = runs.join(splits, "run").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "split"))).alias("words"))
+    rows = urls.join(words.select("k", F.flatten("words.split").alias("words")), "k", "left").select("id", "host", "path", "words")
+    model = NaiveBayes.of(block, allow)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = shared.value
-        known: dict[str, list[str]] = {}
         for batch in batches:
-            tokens, blocked, odds = [], [], []
-            for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found: list[str] = []
-                for run in RUN.findall(f"{host} {path.lower()}"):
-                    if run not in known:
-                        if len(known) > 100_000:
-                            known.clear()
-                        known[run] = words.split(run)
-                    found += known[run]
-                yes, score = model.blocks(found)
-                tokens.append(found)
-                blocked.append(yes)
-                odds.append(score)
-            yield pa.record_batch([*batch.columns, pa.array(tokens, pa.list_(pa.string())), pa.array(blocked, pa.bool_()), pa.array(odds, pa.float64())], ["id", "host", "path", "words", "blocked", "log_odds"])
-
-    judged = urls.mapInArrow(judge, "id long, host string, path string, words array<string>, blocked boolean, log_odds double")
+            tokens = [found or [] for found in batch.column(3).to_pylist()]
+            blocked, odds = zip(*map(model.blocks, tokens), strict=True) if tokens else ((), ())
+            yield pa.record_batch([*batch.columns[:3], pa.array(tokens, pa.list_(pa.string())), pa.array(blocked, pa.bool_()), pa.array(odds, pa.float64())], ["id", "host", "path", "words", "blocked", "log_odds"])
+
+    judged = rows.mapInArrow(judge, "id long, host string, path string, words array<string>, blocked boolean, log_odds double")
     judged = judged.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "words", "log_odds")
