@@ -165,6 +165,84 @@ def test_jaccard_near_the_threshold(spark, size):
     assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got) == sorted(plain_components(rows))
 
 
+def unlinked(left, right, similarity=0.75):
+    """Which of the pairs (left[k], right[k]) of sets of hashes share no signature."""
+    keys = []
+    for sets in (left, right):
+        sizes = np.array([len(x) for x in sets])
+        value = np.concatenate([np.sort(x) for x in sets])
+        row, sig = ngram_jaccard.signatures(np.repeat(np.arange(len(sets)), sizes), value, sizes, similarity)
+        keys.append((_text.mix(sig ^ _text.mix(row.astype(np.uint64) + np.uint64(1))), row))
+    met = np.zeros(len(left), dtype=bool)
+    met[keys[0][1][np.isin(keys[0][0], keys[1][0])]] = True
+    return np.flatnonzero(~met)
+
+
+def test_similar_sets_share_a_signature():
+    """Every pair of sizes from 1 to 60 at 0.75 to 0.8, contained and edited, many draws of each."""
+    rng = np.random.default_rng(12)
+    left, right = [], []
+    for a in range(1, 61):
+        for b in range(a, 61):
+            for common in range(a + 1):
+                if 0.75 <= common / (a + b - common) <= 0.8 or (common == a == b and a < 4):
+                    for _ in range(60):
+                        h = rng.integers(0, 2**64, a + b - common, dtype=np.uint64)
+                        left.append(h[:a])
+                        right.append(np.concatenate([h[:common], h[a:]]))
+    assert len(left) > 15_000 and not len(unlinked(left, right))
+
+
+def test_contained_sets_share_a_signature():
+    rng = np.random.default_rng(13)
+    for _ in range(5):
+        pool = rng.integers(0, 2**64, (20_000, 48), dtype=np.uint64)
+        large = rng.integers(4, 49, len(pool))
+        small = np.array([-(-3 * n // 4) for n in large])
+        assert not len(unlinked([h[:n] for h, n in zip(pool, large, strict=True)], [h[:n] for h, n in zip(pool, small, strict=True)]))
+
+
+def test_repeated_signatures_pass_batch_by_batch():
+    rng = np.random.default_rng(14)
+    sig = np.sort(rng.integers(0, 40, 300))
+    node = rng.integers(0, 6, 300)
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    groups = defaultdict(set)
+    for s, x in zip(sig.tolist(), node.tolist(), strict=True):
+        groups[s].add(x)
+    want = [(s, x, min(g)) for s, g in sorted(groups.items()) if len(g) > 1 for x in sorted(g)]
+    for step in (1, 2, 7, 300):
+        cut = [pa.record_batch([pa.array(sig[k : k + step]), pa.array(node[k : k + step])], ["sig", "node"]) for k in range(0, 300, step)]
+        got = [tuple(r.values()) for b in ngram_jaccard._repeated(iter(cut)) for r in b.to_pylist()]
+        assert got == want
+        whole = [list(map(tuple, np.column_stack(cols).tolist())) for cols in ngram_jaccard._runs(iter(cut))]
+        assert [x for run in whole for x in run] == list(zip(sig.tolist(), node.tolist(), strict=True))
+        assert all(a[-1][0] != b[0][0] for a, b in zip(whole, whole[1:], strict=False))
+
+
+@pytest.mark.parametrize("features", [1 << 18, 400])
+def test_jaccard_of_crowds(spark, monkeypatch, features):
+    """A passage that most documents hold, pairs at the threshold among them, and many near copies of two texts."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_FEATURES", features)
+    monkeypatch.setattr(ngram_jaccard, "HOT_GROUP", 5)
+    rng = np.random.default_rng(15)
+    passage, rows = [f"p{k}" for k in range(60)], []
+    for k in range(60):
+        own = [f"d{k}x{j}" for j in range(int(rng.integers(8, 40)))]
+        rows.append((k, " ".join(passage + own), None, None))
+        if k % 3 == 0:
+            rows.append((200 + k, " ".join([*passage, *own][: -(-3 * (len(own) + 60) // 4) + 3]), None, None))
+    for g in range(2):
+        text = [f"g{j}" for j in range(25)] + [f"g{g}y{j}" for j in range(20)]
+        for k in range(30):
+            edited = list(text)
+            edited[int(rng.integers(0, 45))] = f"e{g}z{k}"
+            rows.append((500 + 100 * g + k, " ".join(edited), None, None))
+    got = ngram_jaccard.jaccard_components(frame(spark, rows, clash=False)).collect()
+    assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got) == sorted(plain_components(rows))
+
+
 def test_jaccard_beside_many_copies(spark):
     """Supersets and a subset at 0.75 to 0.76 of one near copy among many, so that what they share is shared by all copies."""
     base = [f"w{k}" for k in range(303)]

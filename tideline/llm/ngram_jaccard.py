@@ -8,25 +8,32 @@ domain of features by their hash:
 
 * k <= 2: the set without any 0..k features; similar sets share their intersection.
 * k <= SMALL_K: n1 partitions split into 5; each choice of 3 of the 5 gives a signature.
-  Some partition holds at most 2 differences, so one of its choices holds none.
+  Some partition holds at most 2 differences, so one of its choices holds none. Such a
+  choice says nothing where it is empty; a set with an empty choice also signs the features
+  at the front of the order of hashes, as many as leave fewer behind than similar sets
+  share. Both sets of a pair whose clean choices are all empty do so, and such fronts meet.
 * larger k: enumerating every partition would take as many signatures as features, so
   `SIGNATURES` partitions of about 5 features each are signed, over several hashes of the
-  domain where one has fewer. A pair at the very threshold shares each with a chance of 1/5 at
+  domain where one has fewer; those of fewer than 3 features say little and are not. A
+  pair at the very threshold shares each with a chance of 1/5 at
   least, and so misses all 96 with a chance below 1e-9; closer pairs less.
 
-Projections of fewer than 3 features (1 for small k) are not signed: they say little and
-would gather unrelated sets. Equal sets are one node throughout. Nodes that share a
-signature are compared in two rounds: each with the first of its group, and then, where a
-group still spans several components, every pair from different components. Every link is
-verified on the whole sets. Links within one component are not needed for its identity, so
-large groups of near copies cost one comparison each.
+Equal sets are one node throughout, signed once for each partition of the input. Nodes that
+share a signature are compared in two rounds: each with the first of its group, and then,
+where a group still spans several components, every pair from different components. Every
+link is verified on the whole sets. Links within one component are not needed for its
+identity, so large groups of near copies cost one comparison each.
 
 A signature of more than `HOT_GROUP` nodes comes from a passage that many documents hold,
-or from many near copies. In the second round its nodes are not paired row by row: the nodes
-of hot groups form families (whatever such groups connect), and each family is compared in
-whole, block against block, by counting shared features. Blocks hold nodes of like sizes, and
-only blocks whose sizes allow the similarity meet; only links that join components leave such
-a task. Pairs of one family need no other comparison.
+or from many near copies. In the second round its nodes are not paired row by row. All nodes
+of such groups are grouped anew, by shared features in an order that puts the rarest
+first: a set of n features meets every similar one within its first n - ceil(similarity * n) + 1,
+and features that no other of these nodes has take up those places without meeting anything. So nodes
+that share a passage and little else drop out here. Where groups are still crowded, their
+nodes form families (whatever such groups connect), and each family is compared in
+whole, block against block, by counting shared features. Blocks hold nodes of like sizes and
+a bounded number of features, and only blocks whose sizes allow the similarity meet; only
+links that join components leave such a task. Pairs of one family need no other comparison.
 """
 
 from __future__ import annotations
@@ -47,7 +54,8 @@ SIGNATURES = 96
 PART_SIZE = 5
 SMALL_K = 32
 HOT_GROUP = 32
-BLOCK = 512
+#: Features of a block, about; and so of a task's memory.
+BLOCK_FEATURES = 1 << 18
 SEED = 0xA0761D6478BD642F
 CHOICES = list(itertools.combinations(range(5), 3))
 
@@ -86,6 +94,19 @@ def _tag(*parts) -> np.ndarray:
     return h
 
 
+def front(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """How many first features of a set, in any common order, hold one of each similar set's first ones."""
+    share = round(similarity * 1000)
+    return sizes - (share * sizes + 999) // 1000 + 1
+
+
+def _sign_fronts(doc, value, first, sizes, vague, grid, similarity, rows, found) -> None:
+    place = np.arange(len(doc)) - first[doc]
+    use = np.flatnonzero(vague[doc] & (place < front(sizes, similarity)[doc]))
+    found.append(mix(mix(value[use] + np.uint64(SEED)) ^ _tag(grid[doc[use]], 50)))
+    rows.append(doc[use])
+
+
 def signatures(doc: np.ndarray, value: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of sets given as ordered (row, hash) pairs with their sizes."""
     if not len(doc):
@@ -116,6 +137,10 @@ def signatures(doc: np.ndarray, value: np.ndarray, sizes: np.ndarray, similarity
             sums = sums.reshape(-1, 5)
             owner = np.repeat(np.arange(len(sizes)), n1)
             part = np.arange(base[-1]) - base[owner]
+            least = np.sort(n, axis=1)[:, :3].sum(1)
+            vague = np.zeros(len(sizes), dtype=bool)
+            vague[owner[least == 0]] = True
+            _sign_fronts(doc, value, first, sizes, vague, grid, similarity, rows, found)
             for c, chosen in enumerate(CHOICES):
                 full = np.flatnonzero(n[:, chosen].sum(1) > 0)
                 found.append(mix(sums[full][:, chosen].sum(1, dtype=np.uint64) ^ _tag(grid[owner[full]], 1 + c, part[full])))
@@ -163,31 +188,61 @@ def _long(values: np.ndarray) -> pa.Array:
 
 def _runs(batches: Iterator[pa.RecordBatch]):
     """Whole groups of equal first column from ordered batches, as many as have arrived."""
-    rest: list[np.ndarray] | None = None
+    waiting: list[list[np.ndarray]] = []
+
+    def flush() -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*waiting, strict=True)]
+
     for batch in batches:
         cols = [np.array(c) for c in batch.columns]
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
         if not len(cols[0]):
             continue
         cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        rest = [c[cut:] for c in cols]
-        if cut:
-            yield [c[:cut] for c in cols]
-    if rest is not None and len(rest[0]):
-        yield rest
+        if cut or (waiting and waiting[-1][0][0] != cols[0][0]):
+            waiting.append([c[:cut] for c in cols])
+            if any(len(w[0]) for w in waiting):
+                yield flush()
+            waiting = []
+        waiting.append([c[cut:] for c in cols])
+    if waiting:
+        yield flush()
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, node, head) of signatures with several nodes; head is the group's least node."""
-    for sig, node in _runs(batches):
+    """(sig, node, head) of signatures with several nodes; head is the group's least node.
+
+    Rows come ordered by both and pass through, so a group of any size takes no memory.
+    """
+    last_sig = last_node = head = None
+    lone = False  # the open group has one node so far, which has not been passed on
+    for batch in batches:
+        sig, node = np.array(batch.column(0)), np.array(batch.column(1))
         new = np.ones(len(sig), dtype=bool)
         new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        if len(sig) and sig[0] == last_sig and node[0] == last_node:
+            new[0] = False
         sig, node = sig[new], node[new]
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        if not len(sig):
+            continue
+        going_on = sig[0] == last_sig
+        start = np.flatnonzero(np.concatenate([[not going_on], sig[1:] != sig[:-1]]))
+        if going_on:
+            start = np.concatenate([[0], start])
         length = np.diff(np.append(start, len(sig)))
-        many = np.repeat(length > 1, length)
-        yield pa.record_batch([pa.array(sig[many]), pa.array(node[many]), pa.array(np.repeat(node[start], length)[many])], ["sig", "node", "head"])
+        heads = node[start].copy()
+        if going_on:
+            heads[0] = head
+        many = length > 1
+        many[0] |= going_on
+        wait = not many[-1]
+        out = np.repeat(many, length)
+        columns = [sig[out], node[out], np.repeat(heads, length)[out]]
+        if going_on and lone:
+            columns = [np.concatenate([[x], c]) for x, c in zip((last_sig, head, head), columns, strict=True)]
+        lone = wait
+        last_sig, last_node, head = sig[-1], node[-1], heads[-1]
+        if len(columns[0]):
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["sig", "node", "head"])
 
 
 def _pairs(found: list) -> pa.RecordBatch:
@@ -285,8 +340,11 @@ def jaccard_components(docs: DataFrame, similarity: float = 0.75, width: int = 5
             yield pa.record_batch([rows.column(0), pa.array(sizes, pa.int64()), _long(node)], ["id", "n", "node"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for _, doc, value, sizes, node in _sets(batches, width):
             _, at = np.unique(node, return_index=True)
+            at = at[[x not in seen for x in node[at].tolist()]]
+            seen.update(node[at].tolist())
             first = np.zeros(len(node), dtype=bool)
             first[at] = True
             keep = first[doc]
@@ -321,37 +379,57 @@ def jaccard_components(docs: DataFrame, similarity: float = 0.75, width: int = 5
         both = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
         return stored(both.filter(f"1000 * common >= {share} * (total - common)").select("a", "b"), "links")
 
+    def by_rarest(crowd: DataFrame) -> DataFrame:
+        """(sig, part, node, n, head) of the nodes of crowd: groups, now by features, that span several components."""
+        items = crowd.join(sets, "node").dropDuplicates(["node"]).select("node", "part", "n", F.explode("set").alias("f"))
+        often = items.groupBy("f").count().filter("count > 1")
+        rare = items.join(often, "f").groupBy("node", "part", "n").agg(F.sort_array(F.collect_list(F.struct("count", "f"))).alias("fs"))
+        ahead = f"n - ({share} * n + 999) div 1000 + 1 - (n - size(fs))"  # the features without a partner stand first
+        posted = rare.withColumn("ahead", F.expr(f"cast(greatest({ahead}, 0) as int)"))
+        posted = posted.select("node", "part", "n", F.explode(F.expr("slice(fs, 1, ahead)")).alias("e")).select(F.col("e.f").alias("sig"), "part", "node", "n")
+        posted = stored(posted, "posted")
+        open_ = posted.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min("node").alias("head")).filter("x < y").select("sig", "head")
+        return stored(posted.join(open_, "sig").select("sig", "part", "node", "n", "head"), "placed")
+
     def in_families(crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
         family = components(crowded.select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a <> b")).withColumnRenamed("component", "family")
         family = stored(family.join(crowded.select("node", "part", "n").distinct(), "node"), "families")
         # similar sizes differ by a factor of 4/3 at most, so similar nodes are in one band or in neighbouring ones
         banded = family.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.34))))
-        blocks = banded.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        blocks = banded.groupBy("family", "band").agg(F.ceil(F.sum("n") / BLOCK_FEATURES).alias("blocks"))
         near = blocks.withColumn("code", F.expr("explode(transform(sequence(0L, blocks - 1), x -> (band << 32) + x))"))
         near = near.select("family", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), F.col("code").alias("other"))
         whole = banded.join(blocks, ["family", "band"]).withColumn("own", F.expr("(band << 32) + pmod(xxhash64(node), blocks)"))
-        whole = whole.join(sets.dropDuplicates(["node"]), "node").join(near, ["family", "band"])
+        whole = whole.join(sets, "node").dropDuplicates(["node"]).join(near, ["family", "band"])
         whole = whole.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "part", "set")
         links = whole.groupBy("family", "low", "high").applyInArrow(lambda t: block_links(t, share), "a long, b long")
         return stored(links, "links"), family.select("node", "family")
 
+    def divide(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Groups of more than HOT_GROUP nodes, and the others."""
+        hot = stored(placed.groupBy("sig").count().filter(f"count > {HOT_GROUP}").select("sig"), "hot")
+        return placed.join(hot, "sig", "left_semi"), placed.join(hot, "sig", "left_anti")
+
     star = groups.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = verified(star)
     parts = stored(components(links), "parts")
     placed = groups.join(parts, "node", "left").select("sig", "node", "head", F.coalesce("component", "node").alias("part"))
     open_ = placed.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x < y").select("sig")
     placed = stored(placed.join(open_, "sig", "left_semi").join(heads.select("node", "n"), "node").select("sig", "part", "node", "n", "head"), "placed")
-    hot = stored(placed.groupBy("sig").count().filter(f"count > {HOT_GROUP}").select("sig"), "hot")
-    # a node meets few heads in its many hot groups, so one row for each head says as much as one for each group
-    crowded = stored(placed.join(hot, "sig", "left_semi").select("head", "node", "part", "n").distinct(), "crowded")
-    inside, family = in_families(crowded) if not crowded.isEmpty() else (None, None)
-    more = placed.join(hot, "sig", "left_anti")
-    more = more.join(family, "node", "left") if family is not None else more.withColumn("family", F.lit(None).cast("long"))
+    hot, cold = divide(placed)
+    family = None
+    if not hot.isEmpty():
+        hot, rest = divide(by_rarest(hot.select("node", "part", "n").distinct()))
+        cold = cold.unionAll(rest)
+        # a node meets few heads in its many hot groups, so one row for each head says as much as one for each group
+        crowded = stored(hot.select("head", "node", "part", "n").distinct(), "crowded")
+        inside, family = in_families(crowded) if not crowded.isEmpty() else (None, None)
+    more = cold.join(family, "node", "left") if family is not None else cold.withColumn("family", F.lit(None).cast("long"))
     more = more.select("sig", "part", "node", "n", F.coalesce("family", "node").alias("family"))
     more = more.repartition(partitions, "sig").sortWithinPartitions("sig", "part", "node").mapInArrow(_across, "a long, b long").distinct()
     more = more.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = verified(more)
-    if inside is not None:
+    if family is not None:
         more = more.unionAll(inside)
     if not more.isEmpty():
         parts = stored(components(links.unionAll(more)), "parts")
