@@ -199,12 +199,39 @@ def test_embedding_dedup(spark, monkeypatch, leaf, block):
     assert embedding_dedup.embedding_dedup(table.limit(0)).count() == 0
 
 
+def test_every_vector_length_is_compared(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for dim in range(2, 72):
+        v = rng.standard_normal(dim)
+        rows += [(len(rows) + k, x.astype(np.float32).tolist(), 1) for k, x in enumerate((v, v * 2 + 0.01 * rng.standard_normal(dim), rng.standard_normal(dim)))]
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((key(r.vec_id), r.n_links, key(r.component_id), r.kept) for r in got) == sorted(plain_links(rows, 0.93))
+    assert all(r.n_links >= 1 for r in got if r.vec_id % 3 < 2)
+
+
+def test_large_leaves_are_split_again(spark, monkeypatch):
+    """Leaves deeper than the sample allows, and a knot of vectors that no cut parts."""
+    monkeypatch.setattr(embedding_dedup, "LEAF", 8)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    monkeypatch.setattr(embedding_dedup, "LEAF_SAMPLE", 60)
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.standard_normal(24).astype(np.float32).tolist(), 0) for k in range(500)]
+    knot = rng.standard_normal(24)
+    rows += [(1000 + k, (knot + 0.02 * rng.standard_normal(24)).astype(np.float32).tolist(), 0) for k in range(90)]
+    splits, plain = [], embedding_dedup._refined
+    monkeypatch.setattr(embedding_dedup, "_refined", lambda *a: splits.append(plain(*a)) or splits[-1])
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), sample=40).collect()
+    assert sorted((key(r.vec_id), r.n_links, key(r.component_id), r.kept) for r in got) == sorted(plain_links(rows, 0.93))
+    assert len(splits) >= 2 and splits[-1] is None
+
+
 def test_forest_routes_to_leaves_and_finds_neighbours():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((4000, 32))
     y = x + 0.05 * rng.standard_normal(x.shape)
     x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
-    forest = embedding_dedup.fit_forest(x[:2000], 6, 0.93)
+    forest = embedding_dedup.fit_forest([x[:2000]], 6, 0.93)
     met = np.zeros(len(x), bool)
     for tree in range(embedding_dedup.TREES):
         leaves = [defaultdict(set), defaultdict(set)]

@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -97,7 +97,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).filter("u <> v").distinct(),
         "links",
     )
-    before = None
+    before: dict | None = None
     for _ in range(max_rounds):
         both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -106,9 +106,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("k"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
-        old, links = links, stored(small.filter("u <> v").distinct(), "links")
+        seen = Observation()  # the write itself tells whether anything has changed
+        small = small.filter("u <> v").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        old, links = links, stored(small, "links")
         discard(old)
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = seen.get
         if now == before:
             heads = links.select(F.col("v").alias("node")).distinct()
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(heads.select("node", F.col("node").alias("component")))
