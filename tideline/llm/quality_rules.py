@@ -3,9 +3,11 @@
 Method: five metrics of each text go into mergeable quantile sketches, one for each
 (language, source, metric). A sketch is a histogram over buckets that keep a value's
 six leading bits, so a quantile is off by 1/32 of its value at most; sketches merge by adding counts, which is how
-those of a language and of the whole table come from those of its sources. A group with
-fewer than `min_group` usable texts borrows the sketch one level up. Limits are fences
-about the quartiles, never a fixed share of the rows, and the table of limits is joined
+those of a language and of the whole table come from those of its sources. A limit lies beyond a
+tail quantile of the group by `REACH` times that quantile's distance from the median, and by
+the sketch's own error; nothing else enters it. The quantiles of a group of n
+texts are averaged with those of its parent (its language, the whole table), which
+count as `PRIOR` texts, so small groups follow their parents. The table of limits is joined
 to the rows to filter them.
 """
 
@@ -23,29 +25,34 @@ from ._text import Words, chunks
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
 
-#: Metric: (numerator, denominator) in thousandths, and the least distance of a fence from its quartile.
+#: Metric: (numerator, denominator) in thousandths, and its tails in hundredths: the share of texts
+#: beyond either tail quantile. Few texts have many symbols, and in some groups those are junk;
+#: repeated lines and words are rare and harmless in most groups.
 METRICS = {
-    "symbols": ("n_symbols", "word_chars", 60),
-    "upper": ("n_upper", "word_chars", 150),
-    "word_length": ("word_chars", "n_words", 2500),
-    "dup_lines": ("n_dup_lines", "n_lines", 500),
-    "repeats": ("n_repeat_words", "n_words", 300),
+    "symbols": ("n_symbols", "word_chars", 20),
+    "upper": ("n_upper", "word_chars", 10),
+    "word_length": ("word_chars", "n_words", 10),
+    "dup_lines": ("n_dup_lines", "n_lines", 1),
+    "repeats": ("n_repeat_words", "n_words", 1),
 }
 
-#: A fence lies so many interquartile ranges beyond its quartile.
+#: A limit lies so many times the distance from the median to the tail quantile beyond that quantile.
 REACH = 3
-MIN_GROUP = 200
+#: A parent's quantiles count as so many texts of the group.
+PRIOR = 50
+SIDES = ("low", "mid", "high")
 
 
-def count_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+def count_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, offsets in chunks(batch.column(3)):
                 rows, found = batch.slice(row, len(offsets) - 1), base_counts(Words(data, offsets))
-                yield pa.record_batch([*rows.columns[:3], *(pa.array(found[c], pa.int64()) for c in COUNTS)], ["id", "lang", "source", *COUNTS])
+                yield pa.record_batch([*rows.columns[:3], *rows.columns[4:], *(pa.array(found[c], pa.int64()) for c in COUNTS)], ["id", "lang", "source", *carry, *COUNTS])
 
-    texts = docs.select(*(F.col(c).cast(t).alias(n) for c, t, n in ((id_col, "long", "id"), (lang_col, "string", "lang"), (source_col, "string", "source"), (text_col, "string", "text"))))
-    return texts.mapInArrow(count, "id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    texts = docs.select(*(F.col(c).cast(t).alias(n) for c, t, n in ((id_col, "long", "id"), (lang_col, "string", "lang"), (source_col, "string", "source"), (text_col, "string", "text"))), *carry)
+    carried = "".join(f"`{c}` {t}, " for c, t in texts.dtypes[4:])
+    return texts.mapInArrow(count, f"id long, lang string, source string, {carried}" + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def _metric(name: str):
@@ -65,51 +72,59 @@ def sketches(counts: DataFrame) -> DataFrame:
     return counts.select("lang", "source", each.alias("e")).groupBy("lang", "source", "e.metric", "e.bucket").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, metric, q1, q3 and total of the sketches merged by keys."""
+def _tail(metric):
+    return F.element_at(F.create_map(*(F.lit(x) for m, (_, _, tail) in METRICS.items() for x in (m, tail))), metric)
+
+
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, its low, mid and high quantile and the total of the sketches merged by keys."""
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "metric")
-    ranked = merged.select(*keys, "metric", "bucket", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("total"))
-    at = lambda share: F.min(F.when(F.col("upto") * 4 >= F.col("total") * share, F.col("bucket")))
-    return ranked.groupBy(*keys, "metric").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("total").alias("total"))
-
-
-def limits(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """lang, source and, for each metric, the fences lo_ and hi_."""
-    own = quartiles(sketch, ["lang", "source"])
-    lang = quartiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("metric").alias("lm"), *(F.col(c).alias(f"l_{c}") for c in ("q1", "q3", "total")))
-    whole = quartiles(sketch, []).select(F.col("metric").alias("wm"), *(F.col(c).alias(f"w_{c}") for c in ("q1", "q3")))
-    every = sketch.select("lang", "source").distinct().select("*", F.explode(F.array(*(F.lit(m) for m in METRICS))).alias("metric"))
-    own = every.join(own.select(F.col("lang").alias("o"), F.col("source").alias("s"), F.col("metric").alias("om"), "q1", "q3", "total"), F.col("lang").eqNullSafe(F.col("o")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("metric") == F.col("om")), "left")
-    own = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("metric") == F.col("lm")), "left").join(whole, F.col("metric") == F.col("wm"), "left")
-    pick = lambda q: F.when(F.col("total") >= min_group, F.col(q)).when(F.col("l_total") >= min_group, F.col(f"l_{q}")).otherwise(F.col(f"w_{q}"))
-    own = own.select("lang", "source", "metric", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    slack = F.element_at(F.create_map(*(F.lit(x) for m, (_, _, least) in METRICS.items() for x in (m, least))), F.col("metric"))
-    reach = F.greatest(REACH * (F.col("q3") - F.col("q1")), slack)
-    fences = own.select("lang", "source", "metric", (F.col("q1") - reach).alias("lo"), (F.col("q3") + reach).alias("hi"))
+    ranked = merged.select(*keys, "metric", "bucket", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("total"), _tail(F.col("metric")).alias("tail"))
+    at = lambda share: F.min(F.when(F.col("upto") * 100 >= F.col("total") * share, F.col("bucket")))
+    return ranked.groupBy(*keys, "metric").agg(at(F.col("tail")).alias("low"), at(F.lit(50)).alias("mid"), at(100 - F.col("tail")).alias("high"), F.max("total").alias("total"))
+
+
+def shrunk(own: DataFrame, parent: DataFrame, keys: list[str], prior: int) -> DataFrame:
+    """own with its quantiles averaged with those of parent, which has keys, metric and quantiles."""
+    above = parent.select(*(F.col(k).alias(f"p_{k}") for k in keys), F.col("metric").alias("p_metric"), *(F.col(c).alias(f"p_{c}") for c in SIDES))
+    same = F.col("metric") == F.col("p_metric")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"p_{k}"))
+    mean = lambda c: F.expr(f"(total * {c} + {prior} * p_{c}) div (total + {prior})").alias(c)
+    return own.join(above, same).select(*(c for c in own.columns if c not in SIDES), *map(mean, SIDES))
+
+
+def limits(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """lang, source and, for each metric, the limits lo_ and hi_."""
+    whole = quantiles(sketch, [])
+    langs = shrunk(quantiles(sketch, ["lang"]), whole, [], prior)
+    own = shrunk(quantiles(sketch, ["lang", "source"]), langs, ["lang"], prior)
+    low, high = F.expr(f"low - {REACH} * (mid - low) - low div 32"), F.expr(f"high + {REACH} * (high - mid) + high div 32")
+    fences = own.select("lang", "source", "metric", low.alias("lo"), high.alias("hi"))
     return fences.groupBy("lang", "source").agg(*(F.min(F.when(F.col("metric") == m, F.col(side))).alias(f"{side}_{m}") for m in METRICS for side in ("lo", "hi")))
 
 
-def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Counts and verdict of every row: id_col, the counts, base_failed, kept.
+def quality_rules(docs: DataFrame, prior: int = PRIOR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and verdict of every row: id_col, the counts, base_failed, kept, and the columns of carry (of other names).
 
     base_failed: under 20 words, or over 30 in 100 words in repeated 8-word windows.
-    kept: base passed, and every metric lies within its group's fences, which come
+    kept: base passed, and every metric lies within its group's limits, which come
     from all rows that pass base. Null and empty texts have no words and fail base.
     Null languages and sources form groups of their own. Rows that repeat, ids that
     repeat or are null: each row is judged by itself and returned once. Extra columns
     are ignored. An empty table gives an empty result.
     """
-    counts = count_texts(docs, id_col, text_col, lang_col, source_col)
+    counts = count_texts(docs, id_col, text_col, lang_col, source_col, carry)
     counts = stored(counts.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")), "counts")
-    fences = limits(stored(sketches(counts.filter("not base_failed")), "sketches"), min_group)
+    fences = limits(stored(sketches(counts.filter("not base_failed")), "sketches"), prior)
     fences = fences.withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
     judged = counts.join(fences, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     within = F.lit(True)
     for m in METRICS:
         within &= _metric(m).between(F.col(f"lo_{m}"), F.col(f"hi_{m}"))
     kept = ~F.col("base_failed") & F.coalesce(within, F.lit(False))
-    return judged.select(F.col("id").alias(id_col), *COUNTS, "base_failed", kept.alias("kept"))
+    return judged.select(F.col("id").alias(id_col), *COUNTS, "base_failed", kept.alias("kept"), *carry)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -119,11 +134,14 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     metric = {m: f"(1000 * {a}) // greatest({b}, 1)" for m, (a, b, _) in METRICS.items()}
-    fences = ", ".join(f"min(q1 - greatest({REACH} * (q3 - q1), {s})) FILTER (metric = '{m}') AS lo_{m}, min(q3 + greatest({REACH} * (q3 - q1), {s})) FILTER (metric = '{m}') AS hi_{m}" for m, (_, _, s) in METRICS.items())
+    fences = ", ".join(f"min(low - {REACH} * (mid - low) - low // 32) FILTER (metric = '{m}') AS lo_{m}, min(high + {REACH} * (high - mid) + high // 32) FILTER (metric = '{m}') AS hi_{m}" for m in METRICS)
     within = " AND ".join(f"{v} BETWEEN lo_{m} AND hi_{m}" for m, v in metric.items())
-    quart = lambda keys: f"""SELECT {keys} metric, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3, max(total) AS total FROM (
-      SELECT {keys} metric, bucket, sum(n) OVER (PARTITION BY {keys} metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys} metric) AS total
+    tails = "CASE metric " + " ".join(f"WHEN '{m}' THEN {t}" for m, (_, _, t) in METRICS.items()) + " END"
+    quant = lambda keys: f"""SELECT {keys} metric, min(bucket) FILTER (upto * 100 >= total * tail) AS low, min(bucket) FILTER (upto * 2 >= total) AS mid,
+             min(bucket) FILTER (upto * 100 >= total * (100 - tail)) AS high, CAST(max(total) AS BIGINT) AS total FROM (
+      SELECT {keys} metric, bucket, {tails} AS tail, sum(n) OVER (PARTITION BY {keys} metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys} metric) AS total
       FROM (SELECT {keys} metric, bucket, sum(n) AS n FROM sketch GROUP BY {keys} metric, bucket)) GROUP BY {keys} metric"""
+    mean = ", ".join(f"(o.total * o.{c} + {PRIOR} * p.{c}) // (o.total + {PRIOR}) AS {c}" for c in SIDES)
     return rf"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents
@@ -150,13 +168,10 @@ WITH t AS (
 ), sketch AS (
   SELECT lang, source, metric, (v >> low) << low AS bucket, count(*) AS n
   FROM (SELECT *, CAST(greatest(length(bin(v)) - 6, 0) AS INTEGER) AS low FROM m) GROUP BY ALL
-), own AS ({quart("lang, source,")}), lng AS ({quart("lang,")}), whole AS ({quart("")}),
-picked AS (
-  SELECT o.lang, o.source, o.metric,
-         CASE WHEN o.total >= {MIN_GROUP} THEN o.q1 WHEN l.total >= {MIN_GROUP} THEN l.q1 ELSE a.q1 END AS q1,
-         CASE WHEN o.total >= {MIN_GROUP} THEN o.q3 WHEN l.total >= {MIN_GROUP} THEN l.q3 ELSE a.q3 END AS q3
-  FROM own o LEFT JOIN lng l ON o.metric = l.metric AND o.lang IS NOT DISTINCT FROM l.lang LEFT JOIN whole a ON o.metric = a.metric
-), f AS (SELECT lang, source, {fences} FROM picked GROUP BY lang, source)
+), whole AS ({quant("")}), lang_q AS ({quant("lang,")}), own_q AS ({quant("lang, source,")}),
+langs AS (SELECT o.lang, o.metric, {mean} FROM lang_q o JOIN whole p ON o.metric = p.metric),
+own AS (SELECT o.lang, o.source, o.metric, {mean} FROM own_q o JOIN langs p ON o.metric = p.metric AND o.lang IS NOT DISTINCT FROM p.lang),
+f AS (SELECT lang, source, {fences} FROM own GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, base_failed,
        NOT base_failed AND coalesce({within}, false) AS kept
 FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
