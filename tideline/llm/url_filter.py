@@ -2,11 +2,20 @@
 
 Method: host names run words together, so every letter run of a host or path is split by
 a unigram Viterbi search: the split whose words have the largest product of probabilities,
-unknown words costing a factor of ten for each letter. Word counts come from the path words
-of all URLs of the table; a host's run is often several words in one and teaches none. Words of
-the training phrases have a share of `PHRASE_SHARE` at least, so that they are found in tables
-of any size. The words go to a
-multinomial naive Bayes model with add-one smoothing, trained on labelled phrases.
+unknown words costing a factor of ten for each letter; no word has more than `LONGEST_WORD`
+letters. Word counts come from the path words of all URLs of the table; a host's run is often
+several words in one and teaches none, and so does a path's that consists of dictionary words.
+Words of the dictionary have a share of `DICTIONARY_SHARE` at least, so that they are found
+in tables of any size.
+
+The words go to a multinomial naive Bayes model whose log odds have two parts. One comes from
+a general dictionary of words that speak for blocking or allowing (or a table of such words
+that the caller gives), with add-one smoothing. The other comes from the sites of the table:
+sites whose words speak for blocking by `SURE` or more by the first part teach that class, all
+others teach the class to allow, each word once for each site, smoothed by `BACKGROUND`
+words of the whole table's distribution. So words that stand beside telling ones become telling, and those
+that stand everywhere tell nothing; no word gets more than `SURE` this way. The model stays a
+table and is joined to the words.
 
 Only distinct runs are segmented; the counts of all words that stand in a run come by a join.
 """
@@ -14,7 +23,6 @@ Only distinct runs are segmented; the counts of all words that stand in a run co
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -24,34 +32,41 @@ from pyspark.sql import functions as F
 
 from ._spark import stored
 
-#: The least probability of a word of the training phrases.
-PHRASE_SHARE = 1e-4
-#: The share of pages to block that is assumed before any word is seen.
+#: The least probability of a word of the dictionary.
+DICTIONARY_SHARE = 1e-4
+#: The share of sites to block that is assumed before any word is seen.
 PRIOR = 0.3
+#: A word of the dictionary counts as so many occurrences.
+DICTIONARY_WEIGHT = 10
+#: Log odds, without the prior, from which on a site teaches the class to block.
+SURE = 2.0
+#: Words of the whole table's distribution that are added to either class of sites.
+BACKGROUND = 50
 LONGEST_WORD = 24
 
 #: Fixed values: (host and path prefix, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: Training phrases of pages to block and to allow.
-BLOCK_PHRASES = (
-    "casino win", "free bets", "online casino bonus", "poker slots jackpot", "sports betting odds", "bet now win big", "roulette blackjack casino",
-    "adult x", "adult video xxx", "porn tube", "sex cams live", "nude girls", "escort dating hot", "xxx free porn",
-    "cheap pills", "buy viagra online", "cialis pharmacy", "weight loss pills", "cheap meds no prescription", "steroids shop",
-    "spam farm", "link farm", "seo backlinks cheap", "click here win", "free prize winner", "get rich quick", "easy money fast", "payday loan cash",
-    "ads track", "ad tracker pixel", "tracking ads click", "banner ads", "popup ads", "pop under ad server", "affiliate ads",
-    "malware download", "crack keygen warez", "free cracked software", "torrent pirate movies", "phishing login verify", "virus trojan", "replica watches cheap",
-)
-ALLOW_PHRASES = (
-    "news today", "world news", "daily times", "science journal", "research institute", "university library", "public school", "open source software",
-    "cooking recipes", "garden and home", "travel guide", "city weather", "health information", "medical center", "history museum", "art gallery",
-    "music review", "book club", "sports news", "football league", "technology blog", "personal blog", "photo album", "online shop", "help center",
-    "contact about", "terms privacy", "articles archive", "forum discussion", "community wiki", "documentation manual", "government service", "local council",
-    "mobile page", "index page", "wiki", "mail",
-)
-
-#: Words that any URL may hold, taught to both sides.
-COMMON_PHRASES = ("www", "m", "blog", "shop", "web", "site", "example com", "example org", "example net", "com", "org", "net", "en", "de", "fr", "es", "html", "index", "page", "top")
+#: Words that speak for blocking: gambling, adult content, medicines sold by mail, fraud and
+#: junk, advertising networks, stolen software.
+BLOCK_WORDS = """
+    casino casinos gambling gamble poker roulette blackjack jackpot slots slot bet bets betting bookmaker bookie lottery lotto baccarat wager bingo
+    porn porno sex sexy xxx adult nude nudes escort escorts erotic fetish hentai milf camgirl webcam cams hookup brothel
+    viagra cialis levitra pill pills pharmacy steroids steroid painkillers tramadol xanax opioids slimming diet weightloss
+    spam scam scams phishing phish fraud fake hoax payday loans loan cash money millionaire prize prizes winner giveaway backlinks linkfarm replica replicas counterfeit
+    ads advert adserver adserv banner banners popup popunder affiliate affiliates clickbait tracker trackers tracking
+    malware virus trojan spyware ransomware keygen keylogger crack cracked cracks warez torrent torrents pirate pirated hack hacks cheats
+""".split()
+
+#: Words that speak for allowing: news, learning, public services, culture, home and work.
+ALLOW_WORDS = """
+    news times journal daily weekly gazette herald tribune press magazine report reports article articles archive editorial
+    science research institute university college school academy library museum gallery education course lesson lecture history physics biology chemistry math
+    government council ministry parliament city town village county public service health hospital clinic doctor weather climate transport police court law
+    music film theatre theater art book books poetry novel review reviews sport sports football league tennis club
+    cooking recipe recipes kitchen garden home family travel guide hotel map maps nature animals photo photos
+    software code developer docs documentation manual wiki forum community support help contact about privacy terms technology engineering business company bank jobs careers
+""".split()
 
 
 @dataclass(frozen=True)
@@ -85,24 +100,30 @@ class Words:
         return out[::-1]
 
 
-@dataclass(frozen=True)
-class NaiveBayes:
-    """Log odds of blocking: of each word, and without words."""
+def dictionary(spark, block: Sequence[str] = BLOCK_WORDS, allow: Sequence[str] = ALLOW_WORDS) -> DataFrame:
+    """(w, bad, good): how often each word of the general dictionary counts for either class."""
+    rows = [(w, DICTIONARY_WEIGHT * (w in {*block}), DICTIONARY_WEIGHT * (w in {*allow})) for w in sorted({*block, *allow})]
+    return spark.createDataFrame(rows, "w string, bad long, good long")
 
-    odds: dict[str, float]
-    prior: float
 
-    @classmethod
-    def of(cls, block: Sequence[str], allow: Sequence[str]) -> NaiveBayes:
-        bad, good = (Counter(w for p in (*phrases, *COMMON_PHRASES) for w in p.split()) for phrases in (block, allow))
-        both = {*bad, *good}
-        n_bad, n_good = sum(bad.values()) + len(both), sum(good.values()) + len(both)
-        odds = {w: math.log((bad[w] + 1) / n_bad) - math.log((good[w] + 1) / n_good) for w in both}
-        return cls(odds, math.log(PRIOR) - math.log(1 - PRIOR))
+def bayes(counts: DataFrame) -> DataFrame:
+    """(w, odds): log odds of blocking of each word, by add-one smoothing, from (w, bad, good)."""
+    size, bad, good = counts.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    odds = F.log((F.col("bad") + 1) / F.lit(float(bad + size or 1))) - F.log((F.col("good") + 1) / F.lit(float(good + size or 1)))
+    return counts.select("w", F.round(odds, 9).alias("odds"))
+
 
-    def blocks(self, words: Sequence[str]) -> tuple[bool, float]:
-        score = self.prior + sum(self.odds.get(w, 0.0) for w in words)
-        return score > 0, score
+def learnt(site_words: DataFrame, words: DataFrame) -> DataFrame:
+    """(w, odds) from the dictionary (w, bad, good) and the distinct (host, w) of all sites."""
+    told = bayes(words)
+    sums = site_words.join(told, "w", "left").groupBy("host").agg(F.sum(F.coalesce("odds", F.lit(0.0))).alias("odds"))
+    taught = site_words.join(sums.select("host", (F.col("odds") >= SURE).cast("long").alias("bad")), "host")
+    taught = stored(taught.groupBy("w").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("good")), "taught")
+    bad, good = taught.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    usual = BACKGROUND * (F.col("bad") + F.col("good")) / F.lit(float(bad + good or 1))
+    odds = F.log((F.col("bad") + usual) / F.lit(float(bad + BACKGROUND))) - F.log((F.col("good") + usual) / F.lit(float(good + BACKGROUND)))
+    sites = taught.select("w", F.round(F.greatest(F.least(odds, F.lit(SURE)), F.lit(-SURE)), 9).alias("more"))
+    return told.join(sites, "w", "full").select("w", (F.coalesce("odds", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("odds"))
 
 
 def parts(url):
@@ -133,11 +154,11 @@ def word_counts(urls: DataFrame) -> DataFrame:
     return runs.filter(f"length(w) between 2 and {LONGEST_WORD}").groupBy("w").agg(F.count("*").alias("n"))
 
 
-def segmented(runs: DataFrame, counts: DataFrame, phrase_words: Counter) -> DataFrame:
+def segmented(runs: DataFrame, counts: DataFrame, known_words: frozenset[str]) -> DataFrame:
     """(run, split): the words of each of the distinct runs."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = {w: max(n, 20, PHRASE_SHARE * total) for w, n in phrase_words.items()}
-    total += sum(least.values())
+    least = max(20.0, DICTIONARY_SHARE * total)
+    total += least * len(known_words)
     pieces = f"transform(sequence(1, length(run) - 1), i -> transform(sequence(2, least({LONGEST_WORD}, length(run) - i + 1)), n -> substring(run, i, n)))"
     pieces = runs.filter("length(run) > 1").select("run", F.explode(F.expr(f"array_distinct(flatten({pieces}))")).alias("w"))
     found = pieces.join(counts, "w").groupBy("run").agg(F.collect_list("w").alias("ws"), F.collect_list("n").alias("ns"))
@@ -146,44 +167,43 @@ def segmented(runs: DataFrame, counts: DataFrame, phrase_words: Counter) -> Data
         for batch in batches:
             out = []
             for run, ws, ns in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                # a phrase word outweighs a run that merely contains it: runs teach counts, phrases teach words
-                known = {w: n for w, n in zip(ws or (), ns or (), strict=True) if w in phrase_words or not _composed(w, phrase_words)}
-                known = {w: known.get(w, 0) + least.get(w, 0) for w in {*known, *(w for w in least if w in run)}}
+                inside = known_words & {run[a:b] for a in range(len(run)) for b in range(a + 2, min(len(run), a + LONGEST_WORD) + 1)}
+                known = {w: n for w, n in zip(ws or (), ns or (), strict=True) if w in inside or not _composed(w, known_words)}
+                known = {w: known.get(w, 0) + (least if w in inside else 0) for w in {*known, *inside}}
                 out.append(Words({w: math.log10(n / total) for w, n in known.items()}, total).split(run))
             yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["run", "split"])
 
     return runs.join(found, "run", "left").select("run", "ws", "ns").mapInArrow(split, "run string, split array<string>")
 
 
-def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, block: Sequence[str] = BLOCK_PHRASES, allow: Sequence[str] = ALLOW_PHRASES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, words: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id_col, host, path, rule, verdict, words and log_odds of every row.
 
     A rule is a host suffix of whole labels, a slash and a path prefix; the longest that
-    fits decides, else naive Bayes blocks when its log odds are above zero. Null URLs and
+    fits decides, else naive Bayes blocks when its log odds are above zero. words (w, bad, good) replaces the
+    general dictionary; it is held in memory and so a table of a dictionary's size. Null URLs and
     those without :// have empty host and path, no words and the verdict of the prior.
-    Rows are judged one by one, whatever their ids; repeated rows repeat their verdict.
+    Rows are judged one by one, whatever their ids; repeated rows repeat their verdict and teach once.
     Extra columns are ignored. An empty table gives an empty result.
     """
+    words = dictionary(pages.sparkSession) if words is None else words
     host, path = parts(F.col(url_col).cast("string"))
     urls = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
     urls = stored(urls.withColumn("k", F.monotonically_increasing_id()), "urls")
-    phrase_words = Counter(w for p in (*block, *allow, *COMMON_PHRASES) for w in p.split())
-    runs = urls.select("k", F.posexplode(F.expr("regexp_extract_all(concat(host, ' ', lower(path)), '[a-z]+', 0)")).alias("at", "run"))
-    splits = stored(segmented(runs.select("run").distinct(), stored(word_counts(urls), "counts"), phrase_words), "splits")
-    words = runs.join(splits, "run").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "split"))).alias("words"))
-    rows = urls.join(words.select("k", F.flatten("words.split").alias("words")), "k", "left").select("id", "host", "path", "words")
-    model = NaiveBayes.of(block, allow)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [found or [] for found in batch.column(3).to_pylist()]
-            blocked, odds = zip(*map(model.blocks, tokens), strict=True) if tokens else ((), ())
-            yield pa.record_batch([*batch.columns[:3], pa.array(tokens, pa.list_(pa.string())), pa.array(blocked, pa.bool_()), pa.array(odds, pa.float64())], ["id", "host", "path", "words", "blocked", "log_odds"])
-
-    judged = rows.mapInArrow(judge, "id long, host string, path string, words array<string>, blocked boolean, log_odds double")
+    runs = urls.select("k", "host", F.posexplode(F.expr("regexp_extract_all(concat(host, ' ', lower(path)), '[a-z]+', 0)")).alias("at", "run"))
+    known_words = frozenset(r.w for r in words.select("w").collect())
+    splits = stored(segmented(runs.select("run").distinct(), stored(word_counts(urls), "counts"), known_words), "splits")
+    site_words = runs.select("host", "run").distinct().join(splits, "run").select("host", F.explode("split").alias("w")).distinct()
+    odds = learnt(stored(site_words, "site_words"), words)
+    weighed = splits.select("run", F.explode("split").alias("w")).join(odds, "w").groupBy("run").agg(F.sum("odds").alias("odds"))
+    weighed = splits.join(weighed, "run", "left")
+    rows = runs.select("k", "at", "run").join(weighed, "run").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "split"))).alias("words"), F.sum("odds").alias("odds"))
+    prior = math.log(PRIOR) - math.log(1 - PRIOR)
+    judged = urls.join(rows, "k", "left").withColumn("log_odds", F.coalesce("odds", F.lit(0.0)) + prior)
     judged = judged.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))
-    return judged.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "words", "log_odds")
+    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
+    found = F.coalesce(F.flatten("words.split"), F.array().cast("array<string>"))
+    return judged.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), found.alias("words"), "log_odds")
 
 
 def _composed(run: str, words) -> bool:
