@@ -283,26 +283,81 @@ def test_lm_scores(spark):
     assert lm_scoring.lm_scores(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def lexicon_of(n, classes):
+    return lm_scoring.Lexicon.of(np.arange(n, dtype=np.uint64), np.random.default_rng(1).random(n + 3) + 0.1, classes)
+
+
 def test_lm_probabilities_sum_to_one_and_training_helps():
     rng = np.random.default_rng(2)
-    share = np.full(12, 1 / 12)
-    shortlist = lm_scoring.Shortlist(np.arange(10, dtype=np.uint64), share)
-    model = lm_scoring.LogBilinear(share)
+    lexicon = lexicon_of(10, 4)
+    model = lm_scoring.LogBilinear(lexicon)
     ids = np.zeros(40_000, np.int32)
     for k in range(1, len(ids)):
         ids[k] = (ids[k - 1] + 1) % 10 if rng.random() < 0.8 else rng.integers(0, 10)
-    before = np.stack([np.roll(ids, 1), np.roll(ids, 2)])
-    before[:, :2] = shortlist.start
-    tokens = lm_scoring.Tokens(ids, np.zeros(len(ids), np.int64), before)
+    tokens = lm_scoring.Tokens.run(ids, np.array([len(ids)]), lexicon.start)
     at_first = model.log_probs(tokens).mean()
-    trainer = lm_scoring.Trainer(model, share, 1)
+    trainer = lm_scoring.Trainer(model, 1)
     for _ in range(20):
         trainer.learn(tokens)
-    assert model.log_probs(tokens).mean() > at_first + 0.8
-    every = lm_scoring.Tokens(np.arange(12, dtype=np.int32), np.zeros(12, np.int64), np.tile([[3], [4]], 12).astype(np.int32))
+    assert model.log_probs(tokens).mean() > at_first + 0.6
+    every = lm_scoring.Tokens(np.arange(13, dtype=np.int32), np.zeros(13, np.int64), np.tile([[3], [4]], 13).astype(np.int32))
     assert abs(np.exp(model.log_probs(every)).sum() - 1) < 1e-5
 
 
+def test_mean_model_weighs_rows_by_what_was_met():
+    model = lm_scoring.LogBilinear(lexicon_of(5, 2))
+    rng = np.random.default_rng(3)
+    models = [([p + rng.standard_normal(p.shape) for p in model.parts()], [rng.integers(0, 3, len(model.context)).astype(float), rng.integers(0, 3, len(model.target)).astype(float)], float(k + 1)) for k in range(4)]
+    mean, met, tokens = lm_scoring.mean_model(models)
+    assert tokens == 10 and all(np.allclose(m, sum(x[1][k] for x in models)) for k, m in enumerate(met))
+    for row in range(len(model.target)):
+        weights = [x[1][1][row] for x in models]
+        want = models[0][0][2][row] if not sum(weights) else np.average([x[0][2][row] for x in models], axis=0, weights=weights)
+        assert np.allclose(mean[2][row], want)
+    assert np.allclose(mean[1], np.average([x[0][1] for x in models], axis=0, weights=[1, 2, 3, 4]))
+
+
+def plain_score(text, trained, counts):
+    """log10 probability of a text by the definition: one product at a time, every class and token summed."""
+    m, lexicon = trained.model, trained.lexicon
+    data, offsets = _text.raw_column(pa.array([lower(text)]))
+    w = _text.Words(data, offsets)
+    ends = [*w.hash.tolist(), None]
+    numbers, total = [], 0.0
+    for h, bucket in zip(ends, [*lm_scoring.buckets(w).tolist(), None], strict=True):
+        known = None if h is None else int(lexicon.known(np.array([h], np.uint64))[0])
+        number = lexicon.end if h is None else known if known >= 0 else len(lexicon.hashes) + bucket
+        context = [numbers[-k] if len(numbers) >= k else lexicon.start for k in (1, 2)]
+        predicted = sum(np.array([sum(float(m.context[c][i]) * float(m.place[k][i][j]) for i in range(lm_scoring.WIDTH)) for j in range(lm_scoring.WIDTH)]) for k, c in enumerate(context))
+        logit = lambda v, b: float(np.dot(predicted, v.astype(float))) + float(b)
+        klass = int(lexicon.klass[number])
+        kinds = [logit(v, b) for v, b in zip(m.kind, m.kind_bias, strict=True)]
+        inside = [logit(m.target[t], m.bias[t]) for t in np.flatnonzero(lexicon.klass == klass)]
+        total += kinds[klass] - math.log(sum(map(math.exp, kinds))) + logit(m.target[number], m.bias[number]) - math.log(sum(map(math.exp, inside)))
+        if known == -1:
+            mass = 0.1 + sum(n + 0.1 for x, (n, b) in counts.items() if b == bucket and lexicon.known(np.array([x], np.uint64))[0] < 0)
+            total += math.log((counts.get(h, (0, 0))[0] + 0.1) / mass)
+        numbers.append(number)
+    return total / math.log(10)
+
+
+def test_score_against_plain_python_and_other_partitions(spark, monkeypatch):
+    for name, value in (("VOCABULARY", 40), ("FREQUENT", 90), ("GROUP_TOKENS", 3000), ("FAN_IN", 2), ("CLASSES", 5)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}{'abc'[int(x) % 3]}" for x in rng.zipf(1.3, 150) % 400) for _ in range(80)] + ["", None, "unseen W1b w2c"]
+    rows = spark.createDataFrame([(k, False, t) for k, t in enumerate(texts)], "id long, held boolean, text string")
+    found = []
+    for parts in (1, 8):
+        table = rows.repartition(parts)
+        trained = lm_scoring.learn(table.filter("id < 70").select("id", "text"))
+        found.append({r.id: r.score for r in lm_scoring.score_texts(table, trained).collect()})
+    assert found[0].keys() == found[1].keys() and all(abs(found[0][k] - found[1][k]) < 1e-4 for k in found[0])
+    counts = {np.uint64(r.h & (2**64 - 1)): (r.n, r.bucket) for r in trained.counts.collect()}
+    for k in (0, 75, 80, 81, 82):
+        assert abs(plain_score(texts[k] or "", trained, counts) - found[1][k]) < 1e-3
+
+
 def test_classifier(spark):
     good = [(k, prose(60), None, None) for k in range(200)]
     bad = [(1000 + k, " ".join(w.upper() + "!!" for w in prose(60).split()), None, None) for k in range(60)]

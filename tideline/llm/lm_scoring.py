@@ -2,15 +2,23 @@
 
 Method: the two words before a token, taken as vectors and each multiplied by a matrix of
 its position, predict a vector; its product with a token's vector, plus the token's bias, is
-the token's logit. Training (numpy) tells tokens from draws of the unigram distribution.
-Scoring multiplies the predicted vectors of a slice's distinct contexts by all
-token vectors at once and normalises, so log-probabilities sum to one.
+the token's logit. The model knows the `VOCABULARY` most frequent words, the end, and
+`BUCKETS` tokens for all other words, told apart by their last two bytes; such a word has its
+bucket's probability times its share of the bucket's smoothed unigram mass. Tokens
+are dealt to classes by frequency, and a token's probability is that of its class times
+its own within the class, so that exact normalisation costs a few hundred products a token
+and not the whole vocabulary.
+
+Training (numpy) tells classes from draws of the classes' unigram distribution, and tokens from
+draws of their class's. Scoring multiplies the predicted vectors of a slice's distinct
+contexts by all class vectors at once, and those of a class's tokens by all its
+token vectors, and normalises both, so log-probabilities sum to one.
 
 Corpus statistics cover every training document: word counts are one aggregate, and every
-partition trains on all its words, from one common start; the models are averaged
-in a tree, weighted by tokens. The model knows the `SHORTLIST` most frequent words, the
-end, and one token for all other words; such a word has that token's probability times
-its share of the other words' smoothed unigram mass.
+training text is learnt from. Texts are dealt by a hash of their ids and themselves to groups of about `GROUP_TOKENS` tokens,
+in an order of their own, so the model does not depend on how the table is cut. A group trains on a `ROUNDS`-th of
+its texts at a time, from one common start; the groups' models are averaged in a tree, every vector
+weighted by how often the group has met it, and the mean is the next round's start.
 
 Executors hold the counts of the `FREQUENT` most frequent words (a bound in bytes); every
 other word of a text is looked up by a join. Words are told apart by 64-bit hashes.
@@ -26,16 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import stored
-from ._text import Words, chunks
+from ._spark import discard, stored
+from ._text import Words, chunks, mix
 
-SHORTLIST = 500
+VOCABULARY = 32_000
+BUCKETS = 256
+CLASSES = 160
 FREQUENT = 200_000
 WIDTH = 16
-NOISE = 8
+NOISE = 4
+#: Draws that a batch shares: of classes, and of tokens of each class; NOISE is what they count for.
 SHARED_NOISE = 64
-BATCH_TOKENS = 20_000
+SHARED_INNER = 24
+BATCH_TOKENS = 16_384
 RATE = 0.05
+GROUP_TOKENS = 2_000_000
+ROUNDS = 3
 FAN_IN = 16
 
 
@@ -47,6 +61,14 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def buckets(words: Words) -> np.ndarray:
+    """The bucket of each word, by its last two bytes."""
+    if not len(words.starts):
+        return np.zeros(0, np.int64)
+    last, before = words.data[words.ends - 1].astype(np.uint64), words.data[np.maximum(words.ends - 2, words.starts)].astype(np.uint64)
+    return (mix(last * np.uint64(256) + before + np.uint64(1)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
 @dataclass
 class Tokens:
     """Token numbers of a slice in order, each text ended; before: the two tokens before each."""
@@ -56,67 +78,83 @@ class Tokens:
     before: np.ndarray
 
     @classmethod
-    def of(cls, words: Words, shortlist: Shortlist) -> Tokens:
+    def of(cls, words: Words, lexicon: Lexicon) -> Tokens:
         texts = len(words.count)
-        ids = np.full(len(words.starts) + texts, shortlist.end, np.int32)
-        ids[np.arange(len(words.starts)) + words.doc] = shortlist.number(words.hash)
-        doc = np.repeat(np.arange(texts), words.count + 1)
-        first = (words.first[:-1] + np.arange(texts))[doc]
-        at, before = np.arange(len(ids)), np.full((2, len(ids)), shortlist.start, np.int32)
+        ids = np.full(len(words.starts) + texts, lexicon.end, np.int32)
+        ids[np.arange(len(words.starts)) + words.doc] = lexicon.number(words)
+        return cls.run(ids, words.count + 1, lexicon.start)
+
+    @classmethod
+    def run(cls, ids: np.ndarray, lengths: np.ndarray, start: int) -> Tokens:
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        first = (np.cumsum(lengths) - lengths)[doc]
+        at, before = np.arange(len(ids)), np.full((2, len(ids)), start, np.int32)
         for k in (1, 2):
             inside = at - k >= first
             before[k - 1, inside] = ids[at[inside] - k]
-        return cls(ids, doc, before)
+        return cls(ids.astype(np.int32), doc, before)
 
 
 @dataclass(frozen=True)
-class Shortlist:
-    """Hashes of the known words, sorted, and the unigram share of each token number."""
+class Lexicon:
+    """Hashes of the known words, sorted; the unigram share of each token number, and its class.
+
+    Token numbers are those of the known words, then the buckets, the end and, as context only, the start.
+    """
 
     hashes: np.ndarray
     share: np.ndarray
+    klass: np.ndarray
 
-    @property
-    def other(self) -> int:
-        return len(self.hashes)
+    @classmethod
+    def of(cls, hashes: np.ndarray, share: np.ndarray, classes: int = CLASSES) -> Lexicon:
+        """Classes hold like sums of the square roots of shares: frequent tokens stand in small ones."""
+        order = np.lexsort((np.arange(len(share)), -share))
+        root = np.sqrt(share[order])
+        klass = np.empty(len(share), np.int64)
+        klass[order] = np.minimum((np.cumsum(root) - root) / root.sum() * classes, classes - 1).astype(np.int64)
+        return cls(hashes, share / share.sum(), np.unique(klass, return_inverse=True)[1])
 
     @property
     def end(self) -> int:
-        return self.other + 1
+        return len(self.share) - 1
 
     @property
     def start(self) -> int:
-        return self.other + 2
+        return len(self.share)
 
-    def number(self, hashes: np.ndarray) -> np.ndarray:
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each known word, -1 for the others."""
         if not len(self.hashes):
-            return np.zeros(len(hashes), np.int32)
+            return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, self.other).astype(np.int32)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def number(self, words: Words) -> np.ndarray:
+        found = self.known(words.hash)
+        return np.where(found >= 0, found, len(self.hashes) + buckets(words)).astype(np.int32)
 
 
 class LogBilinear:
-    """context (vectors of words before), place (a matrix for each position), target, bias."""
+    """context (vectors of tokens before), place (a matrix for each position), target and bias of
+    tokens, kind and kind_bias of classes."""
 
-    def __init__(self, share: np.ndarray, width: int = WIDTH, seed: int = 5):
+    def __init__(self, lexicon: Lexicon, width: int = WIDTH, seed: int = 5):
         rng = np.random.default_rng(seed)
-        n = len(share)
-        self.context = rng.standard_normal((n + 1, width)).astype(np.float32) * np.float32(0.3)
+        n, classes = len(lexicon.share), int(lexicon.klass.max()) + 1
+        self.klass = lexicon.klass
+        self.order = np.argsort(lexicon.klass, kind="stable")
+        self.edge = np.searchsorted(lexicon.klass[self.order], np.arange(classes + 1))
+        mass = np.bincount(lexicon.klass, weights=lexicon.share)
+        self.class_share, self.inner = mass, lexicon.share / mass[lexicon.klass]
+        normal = lambda *shape: rng.standard_normal(shape).astype(np.float32)
+        self.context = normal(n + 1, width) * np.float32(0.3)
         self.place = np.stack([np.eye(width)] * 2).astype(np.float32)
-        self.target = rng.standard_normal((n, width)).astype(np.float32) * np.float32(0.1)
-        self.bias = np.log(share).astype(np.float32)
+        self.target, self.bias = normal(n, width) * np.float32(0.1), np.log(self.inner).astype(np.float32)
+        self.kind, self.kind_bias = normal(classes, width) * np.float32(0.1), np.log(mass).astype(np.float32)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.context, self.place, self.target, self.bias]
-
-    def pack(self, weight: float) -> bytes:
-        return (np.concatenate([p.ravel() for p in self.parts()]).astype(np.float64) * weight).tobytes()
-
-    def unpack(self, total: np.ndarray) -> None:
-        at = 0
-        for p in self.parts():
-            p[...] = total[at : at + p.size].reshape(p.shape)
-            at += p.size
+        return [self.context, self.place, self.target, self.bias, self.kind, self.kind_bias]
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.context[one] @ self.place[0] + self.context[two] @ self.place[1]
@@ -125,35 +163,63 @@ class LogBilinear:
         """Natural log-probability of each token, normalised over all token numbers."""
         n = len(self.context)
         pair, where = np.unique(tokens.before[0].astype(np.int64) * n + tokens.before[1], return_inverse=True)
+        h = self.predict(pair // n, pair % n)
+        klass = self.klass[tokens.ids]
+        out = np.empty(len(tokens.ids), np.float64)
         order = np.argsort(where, kind="stable")
         edge = np.searchsorted(where[order], np.arange(len(pair) + 1))
-        out = np.empty(len(tokens.ids), np.float64)
-        for k in range(0, len(pair), 4096):
-            logits = self.predict(pair[k : k + 4096] // n, pair[k : k + 4096] % n) @ self.target.T
-            logits += self.bias
-            top = logits.max(axis=1, keepdims=True)
-            rows = order[edge[k] : edge[min(k + 4096, len(pair))]]
-            own = logits[where[rows] - k, tokens.ids[rows]]
-            logits -= top
-            np.exp(logits, out=logits)
-            norm = np.log(logits.sum(axis=1, dtype=np.float64)) + top[:, 0]
-            out[rows] = own - norm[where[rows] - k]
+        for k in range(0, len(pair), 1024):
+            rows = order[edge[k] : edge[min(k + 1024, len(pair))]]
+            out[rows] = _log_softmax(h[k : k + 1024], self.kind, self.kind_bias, where[rows] - k, klass[rows])
+        order = np.argsort(klass, kind="stable")
+        edge = np.searchsorted(klass[order], np.arange(len(self.kind) + 1))
+        spot = np.empty(len(self.klass), np.int64)
+        spot[self.order] = np.arange(len(self.klass)) - np.repeat(self.edge[:-1], np.diff(self.edge))
+        for c in np.flatnonzero(np.diff(edge)):
+            members = self.order[self.edge[c] : self.edge[c + 1]]
+            target, bias = self.target[members], self.bias[members]
+            for k in range(edge[c], edge[c + 1], 1024):
+                rows = order[k : min(k + 1024, edge[c + 1])]
+                out[rows] += _log_softmax(h[where[rows]], target, bias, np.arange(len(rows)), spot[tokens.ids[rows]])
         return out
 
 
+def _log_softmax(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Entries (row, column) of the normalised log-probabilities of h's products with all vectors."""
+    logits = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1) @ np.concatenate([vectors, bias[:, None]], axis=1).T
+    own = logits[row, column].astype(np.float64)
+    top = 0.0
+    if not -60 < logits[:, 0].min() <= logits.max() < 60:  # else sums neither overflow nor vanish
+        top = logits.max(axis=1, keepdims=True)
+        logits -= top
+        top = top[row, 0]
+    np.exp(logits, out=logits)
+    return own - np.log(logits.sum(axis=1))[row] - top
+
+
 class Trainer:
-    """Noise-contrastive steps with Adagrad, all texts of a partition once."""
+    """Noise-contrastive steps with Adagrad."""
 
-    def __init__(self, model: LogBilinear, share: np.ndarray, seed: int):
-        self.model, self.share, self.rng = model, share, np.random.default_rng(seed)
-        self.offset = np.log(NOISE * share).astype(np.float32)
+    def __init__(self, model: LogBilinear, seed: int | tuple[int, ...]):
+        self.model, self.rng = model, np.random.default_rng(seed)
         self.seen = [np.full(p.shape, 1e-3, np.float32) for p in model.parts()]
+        #: How often each row of context and target has been met; and all tokens.
+        self.met = [np.zeros(len(model.context), np.float32), np.zeros(len(model.target), np.float32)]
         self.tokens = 0
+        self.upto = np.cumsum(model.inner[model.order])
+        self.class_upto = np.cumsum(model.class_share)
+        self.offset = np.log(NOISE * model.inner).astype(np.float32)
 
     def learn(self, tokens: Tokens) -> None:
         for k in range(0, len(tokens.ids), BATCH_TOKENS):
             self._step(tokens.before[0, k : k + BATCH_TOKENS], tokens.before[1, k : k + BATCH_TOKENS], tokens.ids[k : k + BATCH_TOKENS])
 
+    def _draw(self, klass: np.ndarray) -> np.ndarray:
+        """(class, draw) tokens of each class, by their shares of it."""
+        m = self.model
+        at = np.searchsorted(self.upto, (klass + self.rng.random((SHARED_INNER, len(klass)))).ravel(), side="right").reshape(SHARED_INNER, -1)
+        return m.order[np.clip(at, m.edge[klass], m.edge[klass + 1] - 1)].T
+
     def _step(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> None:
         m, n = self.model, len(self.model.context)
         key, count = np.unique((one.astype(np.int64) * n + two) * n + ids, return_counts=True)
@@ -164,27 +230,88 @@ class Trainer:
         a, b = pair // n, pair % n
         h = m.predict(a, b)
         count = count.astype(np.float32) / np.float32(len(ids))
-        hu, qw = h[u], m.target[w]
-        logit = np.einsum("ij,ij->i", hu, qw) + m.bias[w] - self.offset[w]
-        pull = count / (1 + np.exp(logit))
-        drawn = self.rng.choice(len(self.share), SHARED_NOISE, p=self.share)
-        q = m.target[drawn]
-        logits = h @ q.T + (m.bias[drawn] - self.offset[drawn])
+        hu, c = h[u], m.klass[w]
+        # classes, against draws that the whole batch shares
+        offset = np.log(NOISE * m.class_share).astype(np.float32)
+        pull = count / (1 + np.exp(np.einsum("ij,ij->i", hu, m.kind[c]) + m.kind_bias[c] - offset[c]))
+        drawn = np.minimum(np.searchsorted(self.class_upto, self.rng.random(SHARED_NOISE)), len(m.kind) - 1)
         weight = np.add.reduceat(count, begin) * np.float32(NOISE / SHARED_NOISE)
-        push = -weight[:, None] / (1 + np.exp(-logits))
-        dh = np.add.reduceat(pull[:, None] * qw, begin, axis=0) + push @ q
-        scatter = lambda at, rows, size: np.column_stack([np.bincount(at, weights=c, minlength=size) for c in rows.T]).astype(np.float32)
-        target = scatter(w, pull[:, None] * hu, len(m.target)) + scatter(drawn, push.T @ h, len(m.target))
-        bias = np.bincount(w, weights=pull, minlength=len(m.bias)) + np.bincount(drawn, weights=push.sum(axis=0), minlength=len(m.bias))
+        push = -weight[:, None] / (1 + np.exp(-(h @ m.kind[drawn].T + (m.kind_bias[drawn] - offset[drawn]))))
+        dh = push @ m.kind[drawn]
+        du = pull[:, None] * m.kind[c]
+        size = len(m.kind)
+        kind = np.stack([np.bincount(c, weights=x, minlength=size) for x in (pull[:, None] * hu).T], axis=1)
+        np.add.at(kind, drawn, push.T @ h)
+        kind_bias = np.bincount(c, weights=pull, minlength=size) + np.bincount(drawn, weights=push.sum(axis=0), minlength=size)
+        # tokens, against draws that the batch's tokens of one class share
+        pull = count / (1 + np.exp(np.einsum("ij,ij->i", hu, m.target[w]) + m.bias[w] - self.offset[w]))
+        du += pull[:, None] * m.target[w]
+        by_class = np.argsort(c, kind="stable")
+        present, first = np.unique(c[by_class], return_index=True)
+        noise, last = self._draw(present), np.append(first[1:], len(c))
+        moved, away, met = np.empty((*noise.shape, m.target.shape[1]), np.float32), np.empty(noise.shape, np.float32), np.empty(noise.shape, np.float32)
+        sorted_h, sorted_count, sorted_du = hu[by_class], count[by_class] * np.float32(NOISE / SHARED_INNER), np.empty_like(hu)
+        for k, (lo, hi) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+            q, mine = m.target[noise[k]], sorted_h[lo:hi]
+            logits = mine @ q.T + (m.bias[noise[k]] - self.offset[noise[k]])
+            push = -sorted_count[lo:hi, None] / (1 + np.exp(-logits))
+            np.matmul(push, q, out=sorted_du[lo:hi])
+            np.matmul(push.T, mine, out=moved[k])
+            push.sum(axis=0, out=away[k])
+            met[k] = sorted_count[lo:hi].sum()
+        du[by_class] += sorted_du
+        noise, away = noise.ravel(), away.ravel()
+        dh += np.add.reduceat(du, begin, axis=0)
         place = np.stack([m.context[a].T @ dh, m.context[b].T @ dh])
-        context = scatter(a, dh @ m.place[0].T, n) + scatter(b, dh @ m.place[1].T, n)
-        for p, g, s in zip(m.parts(), (context, place, target, bias.astype(np.float32)), self.seen, strict=True):
-            g *= np.float32(len(ids) ** 0.5)
-            s += g * g
-            p += RATE * g / np.sqrt(s)
+        scale = np.float32(len(ids) ** 0.5)
+        rows, moved = _sums(np.concatenate([w, noise]), np.concatenate([np.column_stack([pull[:, None] * hu, pull]), np.column_stack([moved.reshape(len(noise), -1), away])]))
+        near, turned = _sums(np.concatenate([a, b]), np.concatenate([dh @ m.place[0].T, dh @ m.place[1].T]))
+        every = slice(None)
+        steps = ((near, turned), (every, place), (rows, moved[:, :-1]), (rows, moved[:, -1]), (every, kind), (every, kind_bias))
+        for p, s, (at, g) in zip(m.parts(), self.seen, steps, strict=True):
+            g = g.astype(np.float32) * scale
+            s[at] += g * g
+            p[at] += RATE * g / np.sqrt(s[at])
+        self.met[0] += np.bincount(one, minlength=n) + np.bincount(two, minlength=n)
+        self.met[1] += np.bincount(ids, minlength=len(m.target)) + np.bincount(noise, weights=met.ravel() * len(ids) / NOISE, minlength=len(m.target))
         self.tokens += len(ids)
 
 
+def _sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in at and the sums of their rows."""
+    order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")
+    at = at[order]
+    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[begin], np.add.reduceat(rows[order], begin, axis=0)
+
+
+def _pack(parts: list[np.ndarray]) -> bytes:
+    return b"".join(p.astype("<f4").tobytes() for p in parts)
+
+
+def _unpack(blob, like: list[np.ndarray]) -> list[np.ndarray]:
+    values, out, at = np.frombuffer(blob, "<f4"), [], 0
+    for p in like:
+        out.append(values[at : at + p.size].reshape(p.shape))
+        at += p.size
+    return out
+
+
+def mean_model(models: list[tuple[list[np.ndarray], list[np.ndarray], float]]):
+    """The mean of (parts, met, tokens), each row weighted by how often it was met; with the sums of these."""
+    total, met, tokens = None, None, 0.0
+    for parts, rows, n in models:
+        weights = [rows[0][:, None], n, rows[1][:, None], rows[1], n, n]
+        weighted = [p.astype(np.float64) * w for p, w in zip(parts, weights, strict=True)]
+        total = weighted if total is None else [x + y for x, y in zip(total, weighted, strict=True)]
+        met = [r.astype(np.float64) for r in rows] if met is None else [x + y for x, y in zip(met, rows, strict=True)]
+        tokens += n
+    weights = [met[0][:, None], tokens, met[1][:, None], met[1], tokens, tokens]
+    start = models[0][0]
+    mean = [np.where(np.asarray(w) > 0, t / np.maximum(w, 1e-30), p) for t, w, p in zip(total, weights, start, strict=True)]
+    return mean, met, tokens
+
+
 def _slices(batches: Iterator[pa.RecordBatch], column: int):
     for batch in batches:
         for row, data, offsets in chunks(batch.column(column)):
@@ -192,86 +319,125 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int):
 
 
 def word_counts(training: DataFrame) -> DataFrame:
-    """(h, n): how often each word, by its hash, stands in the texts; ends are not counted."""
+    """(h, n, bucket): how often each word, by its hash, stands in the texts; ends are not counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words in _slices(batches, 0):
-            h, n = np.unique(words.hash, return_counts=True)
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
-
-    return training.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
+            h, first, n = np.unique(words.hash, return_index=True, return_counts=True)
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n, pa.int64()), pa.array(buckets(words)[first], pa.int32())], ["h", "n", "bucket"])
+
+    return training.select("text").mapInArrow(count, "h long, n long, bucket int").groupBy("h").agg(F.sum("n").alias("n"), F.min("bucket").alias("bucket"))
+
+
+def train(training: DataFrame, lexicon: Lexicon, tokens: int) -> LogBilinear:
+    """The model after ROUNDS rounds of training in groups and averaging."""
+    spark, model = training.sparkSession, LogBilinear(lexicon)
+    groups = max(1, round(tokens / GROUP_TOKENS))
+    kinds = "g int, tokens double, model binary"
+    like, met = model.parts(), [np.zeros(len(model.context)), np.zeros(len(model.target))]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, words in _slices(batches, 0):
+            ids = Tokens.of(words, lexicon).ids.astype("<u2")
+            ends = np.cumsum(words.count + 1) * 2
+            yield pa.record_batch([rows.column(1), pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(ids)])], ["key", "ids"])
+
+    def start(rows: list) -> list:
+        return [(_unpack(blob, [*like, *met])[: len(like)], _unpack(blob, [*like, *met])[len(like) :], n) for n, blob in rows]
+
+    def blob(parts, rows) -> bytes:
+        return _pack([*parts, *rows])
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("g")
+        mean, rows, n = mean_model(start(list(zip(table.column("tokens").to_pylist(), table.column("model").to_pylist(), strict=True))))
+        return pa.table({"g": pa.array([table.column("g")[0].as_py() // FAN_IN], pa.int32()), "tokens": [n], "model": pa.array([blob(mean, rows)], pa.binary())})
+
+    # ids are part of the hash, so copies of a text spread over groups
+    coded = training.select("text", F.xxhash64("id", "text").alias("key")).mapInArrow(code, "key long, ids binary")
+    coded = stored(coded.select("key", "ids", F.expr(f"cast(pmod(xxhash64(key), {groups}) as int)").alias("g"), F.expr(f"cast(pmod(xxhash64(key, 1), {ROUNDS}) as int)").alias("turn")), "coded")
+
+    def fitting(turn: int, shared):
+        def fit(table: pa.Table) -> pa.Table:
+            g, mine = table.column("g")[0].as_py(), LogBilinear(lexicon)
+            for p, q in zip(mine.parts(), _unpack(shared.value, mine.parts()), strict=True):
+                p[...] = q
+            trainer = Trainer(mine, (turn, g))
+            ids = table.sort_by("key").column("ids")
+            for k in range(0, len(ids), 4096):
+                some = ids.slice(k, 4096).to_pylist()
+                lengths = np.array([len(x) for x in some]) // 2
+                trainer.learn(Tokens.run(np.frombuffer(b"".join(some), "<u2").astype(np.int32), lengths, lexicon.start))
+            return pa.table({"g": pa.array([g], pa.int32()), "tokens": [float(trainer.tokens)], "model": pa.array([blob(mine.parts(), trainer.met)], pa.binary())})
+
+        return fit
+
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(_pack(model.parts()))
+        models, left = stored(coded.filter(F.col("turn") == turn).select("g", "key", "ids").groupBy("g").applyInArrow(fitting(turn, shared), kinds), "models"), groups
+        while left > 1:
+            left, old = -(-left // FAN_IN), models
+            models = stored(old.groupBy(F.expr(f"g div {FAN_IN}")).applyInArrow(add, kinds), "models")
+            discard(old)
+        last = models.collect()
+        discard(models)
+        if last and last[0].tokens:
+            for p, q in zip(model.parts(), start([(last[0].tokens, last[0].model)])[0][0], strict=True):
+                p[...] = q
+        shared.unpersist()
+    discard(coded)
+    return model
 
-def train(training: DataFrame, shortlist: Shortlist, partitions: int) -> LogBilinear:
-    """Average, in a tree, of the models that the partitions have trained."""
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+@dataclass(frozen=True)
+class Trained:
+    """The model, the counts of words, and what the smoothed shares are made of.
 
-        trainer = Trainer(LogBilinear(shortlist.share), shortlist.share, TaskContext.get().partitionId())
-        for _, words in _slices(batches, 0):
-            trainer.learn(Tokens.of(words, shortlist))
-        if trainer.tokens:
-            yield pa.record_batch([pa.array([float(trainer.tokens)]), pa.array([trainer.model.pack(trainer.tokens)], pa.binary())], ["weight", "model"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, total = 0.0, None
-        for batch in batches:
-            for w, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.frombuffer(blob.as_buffer(), np.float64)
-                weight, total = weight + w, values if total is None else total + values
-        if total is not None:
-            yield pa.record_batch([pa.array([weight]), pa.array([total.tobytes()], pa.binary())], ["weight", "model"])
-
-    kinds = "weight double, model binary"
-    models = stored(training.select("text").mapInArrow(fit, kinds), "models")
-    while partitions > FAN_IN:
-        partitions = -(-partitions // FAN_IN)
-        models = stored(models.repartition(partitions).mapInArrow(add, kinds), "models")
-    model, weight, total = LogBilinear(shortlist.share), 0.0, None
-    for row in models.toLocalIterator():
-        values = np.frombuffer(row.model, np.float64)
-        weight, total = weight + row.weight, values if total is None else total + values
-    if total is not None:
-        model.unpack(total / weight)
-    return model
+    apart holds, for each bucket, log10 of its share of the unigram mass.
+    """
 
+    lexicon: Lexicon
+    model: LogBilinear
+    counts: DataFrame
+    often: tuple[np.ndarray, np.ndarray]
+    apart: np.ndarray
+    tokens: int
+    ends: int
+    norm: float
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    A-Z count as a-z. A text is its words and one end; a null text has the end alone. Rows
-    are scored one by one, whatever their ids; a null id is not held out. Repeated rows
-    repeat their scores and each counts in training. Extra columns are ignored. An empty
-    table gives an empty result; without training rows every word is unknown.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.withColumn("held", held_out(F.col("id")))
-    training = texts.filter("not held")
+def learn(training: DataFrame) -> Trained:
+    """Everything that scoring needs from training texts (columns id and text)."""
     counts = stored(word_counts(training), "counts")
-    ends = training.select("id").count()
+    ends = training.count()
     words, n = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n, words = n + ends, words + (ends > 0)
     norm = n + 0.1 * (words + 1)
-    often = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    often_h, often_n = (np.array(often.column(c)) for c in ("h", "n"))
+    found = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    often_h, often_n, often_b = (np.array(found.column(c)) for c in ("h", "n", "bucket"))
     often_h = often_h.view(np.uint64)
-    best = np.argsort(often_h[:SHORTLIST])
-    short_h, short_n = often_h[:SHORTLIST][best], often_n[:SHORTLIST][best]
-    known = (np.concatenate([short_n, [0, ends]]) + 0.1) / norm
-    other = 1 - float(known.sum() - known[-2])
-    known[-2] = max(other, 1e-12)
-    shortlist = Shortlist(short_h, known / known.sum())
-    model = train(training, shortlist, max(1, docs.select(F.spark_partition_id().alias("p")).distinct().count()))
+    by_hash = np.argsort(often_h[:VOCABULARY])
+    short_h, short_n, short_b = (x[:VOCABULARY][by_hash] for x in (often_h, often_n, often_b))
+    mass = np.full(BUCKETS, 0.1)
+    for row in counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        mass[row.bucket] += row.n + 0.1 * row.words
+    mass = np.maximum(mass - np.bincount(short_b, weights=short_n + 0.1, minlength=BUCKETS), 0.1)
+    lexicon = Lexicon.of(short_h, np.concatenate([short_n + 0.1, mass, [ends + 0.1]]) / norm)
+    model = train(training, lexicon, n) if ends else LogBilinear(lexicon)
     order = np.argsort(often_h)
-    shared = spark.sparkContext.broadcast((shortlist, model, often_h[order], often_n[order]))
+    return Trained(lexicon, model, counts, (often_h[order], often_n[order]), np.log10(mass / norm), n, ends, norm)
+
+
+def score_texts(texts: DataFrame, trained: Trained) -> DataFrame:
+    """id, held, n_tokens, n_known, base_score and score of the rows (id, held, text)."""
+    norm = trained.norm
+    shared = texts.sparkSession.sparkContext.broadcast((trained.lexicon, trained.model, *trained.often, trained.apart, trained.ends))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shortlist, model, often_h, often_n = shared.value
+        lexicon, model, often_h, often_n, apart, ends = shared.value
         for rows, words in _slices(batches, 2):
             texts = len(rows)
-            tokens = Tokens.of(words, shortlist)
+            tokens = Tokens.of(words, lexicon)
             lm = np.bincount(tokens.doc, weights=model.log_probs(tokens), minlength=texts) / np.log(10)
             at = np.minimum(np.searchsorted(often_h, words.hash), max(len(often_h) - 1, 0))
             have = often_h[at] == words.hash if len(often_h) else np.zeros(len(at), bool)
@@ -279,10 +445,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             logs[have] = np.log10((often_n[at[have]] + 0.1) / norm)
             base = np.bincount(words.doc, weights=logs, minlength=texts) + np.log10((ends + 0.1) / norm)
             seen = np.bincount(words.doc[have], minlength=texts) + (ends > 0)
-            beyond = np.zeros(len(at))
-            outside = have & (shortlist.number(words.hash) == shortlist.other)
-            beyond[outside] = logs[outside] - np.log10(shortlist.share[shortlist.other])
-            lm += np.bincount(words.doc, weights=beyond, minlength=texts)
+            outside = lexicon.known(words.hash) < 0
+            lm += np.bincount(words.doc[outside], weights=(logs - apart[buckets(words)])[outside], minlength=texts)
             rare = np.flatnonzero(~have)
             doc, h = words.doc[rare], words.hash[rare]
             way = np.lexsort((h, doc))
@@ -300,15 +464,27 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     scored = texts.select("id", "held", "text").mapInArrow(score, kinds)
     scored = stored(scored.withColumn("k", F.monotonically_increasing_id()), "scored")
     rare = scored.select("k", F.explode("rare").alias("r")).select("k", "r.h", F.col("r.n").alias("times"))
-    rare = rare.join(counts.select("h", "n"), "h", "left")
+    rare = rare.join(trained.counts.select("h", "n"), "h", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.1)) / F.lit(float(norm)))
-    rare = rare.groupBy("k").agg(F.sum(log * F.col("times")).alias("more"), F.sum("times").alias("times"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
+    rare = rare.groupBy("k").agg(F.sum(log * F.col("times")).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
+    more = F.coalesce("more", F.lit(0.0))
     out = scored.drop("rare").join(rare, "k", "left")
-    more, apart = F.coalesce("more", F.lit(0.0)), float(np.log10(shortlist.share[shortlist.other]))
-    return out.select(
-        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("seen") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("lm") + more - apart * F.coalesce("times", F.lit(0))).alias("score"),
-    )
+    return out.select("id", "held", "n_tokens", (F.col("seen") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("lm") + more).alias("score"))
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+
+    A-Z count as a-z. A text is its words and one end; a null text has the end alone. Rows
+    are scored one by one, whatever their ids; a null id is not held out. Repeated rows
+    repeat their scores and each counts in training. Extra columns are ignored. An empty
+    table gives an empty result; without training rows every word is unknown.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.withColumn("held", held_out(F.col("id")))
+    trained = learn(texts.filter("not held").select("id", "text"))
+    scored = score_texts(texts, trained)
+    return scored.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(trained.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm_scoring(spark, sf_dir: str) -> DataFrame:
