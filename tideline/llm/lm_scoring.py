@@ -47,7 +47,7 @@ NOISE = 4
 SHARED_NOISE = 64
 SHARED_INNER = 24
 BATCH_TOKENS = 16_384
-RATE = 0.05
+RATE = 0.15
 GROUP_TOKENS = 2_000_000
 ROUNDS = 3
 FAN_IN = 16
