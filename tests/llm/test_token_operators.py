@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tideline.llm import best_fit_packing, byte_bpe, embedding_dedup, token_file, url_filter
-from tideline.llm._pieces import WholeTextCoder, library_coder
+from tideline.llm._pieces import WholeTextCoder, library_coder, merges_in_order
 
 from .edges import awkward, frame, key
 
@@ -129,28 +129,57 @@ def test_best_fit_packing(spark, monkeypatch):
     assert best_fit_packing.best_fit_packing(spark.createDataFrame([], EMPTY), BYTES).count() == 0
 
 
-@pytest.mark.parametrize("vocabulary", [1 << 16, 1 << 20])
-def test_token_files(spark, tmp_path, vocabulary):
+@pytest.mark.parametrize(("batch_rows", "shard_bytes", "largest"), [(256, 64 << 20, 49_000), (3, 9_000, 70_000)])
+def test_token_files(spark, tmp_path, monkeypatch, batch_rows, shard_bytes, largest):
+    monkeypatch.setattr(token_file, "BATCH_ROWS", batch_rows)
+    monkeypatch.setattr(token_file, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(token_file, "largest_id", lambda _: largest)
     docs, whole = awkward(), library(WORDS)
-    written = token_file.write_token_files(frame(spark, docs), WORDS, f"file://{tmp_path}/t", length=32, vocabulary=vocabulary).persist()
+    written = token_file.write_token_files(frame(spark, docs), WORDS, f"file://{tmp_path}/t", length=32).persist()
     rows = token_file.read_documents(written, f"file://{tmp_path}/t").orderBy("start").collect()
     ids = lambda t: np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
     assert sorted((key(r.doc_id), r.n_tokens, r.ids_crc32) for r in rows) == sorted((key(i), len(ids(t)), zlib.crc32(ids(t).tobytes())) for i, t, _, _ in docs)
     assert [r.start for r in rows] == np.concatenate([[0], np.cumsum([r.n_tokens for r in rows])[:-1]]).tolist()
     known = [r.doc_id for r in rows if r.doc_id is not None]
-    assert known == sorted(known)
+    assert known == sorted(known) and written.count() > (4 if shard_bytes < 10_000 else 1)
     for part in written.collect():
         sequences, listed = token_file.read_shard(f"file://{tmp_path}/t", part.shard)
+        run = np.concatenate([sequences[k][0] for k in range(len(sequences))])
         masks = np.concatenate([sequences.mask(k) for k in range(len(sequences))])
         assert masks.sum() == part.tokens == sum(listed.column("n_tokens").to_pylist()) and masks[: part.tokens].all()
+        for a, b in ((0, part.tokens), (part.tokens // 3, part.tokens // 2), (part.tokens - 1, part.tokens), (5, 5)):
+            assert sequences.ids(a, b).tolist() == run[a:b].tolist()
+        with pa.ipc.open_stream(f"{tmp_path}/t/shard-{part.shard:06d}.arrows") as stream:
+            assert stream.read_all().column("ids").combine_chunks().flatten().to_pylist() == run.tolist()
         got, mask = sequences[0]
-        assert not got.flags.owndata and not mask.flags.owndata and len(got) == 32 and got.dtype.itemsize == (2 if vocabulary == 1 << 16 else 4)
+        assert not got.flags.owndata and not mask.flags.owndata and len(got) == 32 and got.dtype.itemsize == (2 if largest < 1 << 16 else 4)
+        with open(f"{tmp_path}/t/shard-{part.shard:06d}.arrows", "rb") as plain:  # not mapped
+            assert token_file.SequenceFile(pa.PythonFile(plain))[len(sequences) - 1][0].tolist() == sequences[len(sequences) - 1][0].tolist()
         with pytest.raises(IndexError):
             sequences[len(sequences)]
     empty = token_file.write_token_files(spark.createDataFrame([], EMPTY), WORDS, f"file://{tmp_path}/e")
     assert empty.count() == 0 and token_file.read_documents(empty, f"file://{tmp_path}/e").count() == 0
 
 
+def test_ids_that_do_not_fit_are_an_error():
+    sink = pa.BufferOutputStream()
+    writer = token_file.SequenceWriter(sink, 4, wide=False)
+    writer.add(np.array([1, 70_000], "<u4").tobytes())
+    with pytest.raises(OverflowError):
+        writer.close()
+    nothing = pa.BufferOutputStream()
+    token_file.SequenceWriter(nothing, 4, wide=True).close()
+    assert len(token_file.SequenceFile(pa.BufferReader(nothing.getvalue()))) == 0
+    assert token_file.largest_id(WORDS) < 1 << 16
+
+
+def test_order_of_merges_is_checked():
+    assert merges_in_order({"vocab": {"a": 0, "b": 1, "ab": 2, "abb": 3}, "merges": ["a b", ["ab", "b"]]})
+    assert not merges_in_order({"vocab": {"a": 0, "b": 1, "ab": 3, "bb": 2}, "merges": ["a b", "b b"]})
+    assert not merges_in_order({"vocab": {"a": 0, "b": 5, "ab": 2}, "merges": ["a b"]})
+    assert WholeTextCoder(BYTES).ordered
+
+
 def plain_links(rows, threshold):
     units = []
     for i, v, label in rows:

@@ -143,11 +143,24 @@ def library_coder(path: str, spaced: bool) -> PieceCoder:
     return _LIBRARY[path]
 
 
+def merges_in_order(model: dict) -> bool:
+    """Do the tokens that the merges make have ascending numbers, above those of all parts?"""
+    vocabulary, last = model["vocab"], -1
+    for merge in model["merges"]:
+        a, b = merge.split(" ") if isinstance(merge, str) else merge
+        made = vocabulary.get(a + b, -1)
+        if made <= max(last, vocabulary.get(a, made), vocabulary.get(b, made)):
+            return False
+        last = made
+    return True
+
+
 class WholeTextCoder:
     """Byte-level BPE of whole texts by tiktoken, from the vocabulary of a tokenizers file.
 
-    Both libraries contract by rank, and such a file numbers its tokens in the order of their
-    merges, so ids are the same. Where their character classes might differ (characters from
+    Both libraries contract by rank, and where a file numbers its tokens in the order of their
+    merges, ids are the same; this is checked, and a file of another order is left to the
+    tokenizers library, as a whole. Where their character classes might differ (characters from
     U+0240 on) or the pattern would backtrack far (long runs of white space), the
     tokenizers library codes the text.
     """
@@ -159,17 +172,18 @@ class WholeTextCoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            model = json.load(file)["model"]
+        vocabulary = model["vocab"]
         byte_of = {c: b for b, c in byte_alphabet().items()}
         ranks = {bytes(map(byte_of.__getitem__, t)): n for t, n in vocabulary.items() if all(c in byte_of for c in t)}
         self.encode_ordinary = tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.odd = re.compile(rb"[\xc9-\xff]|[\t-\r ]{300}").search
-        self.path = path
+        self.path, self.ordered = path, merges_in_order(model)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out = []
         for t in texts:
-            if self.odd(t):
+            if not self.ordered or self.odd(t):
                 out += library_coder(self.path, spaced=True).code([t.decode("utf-8", "replace")])
             else:
                 out.append(array("I", self.encode_ordinary(t.decode())).tobytes())

@@ -117,9 +117,10 @@ def pack(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFra
         kept = kept.select("key", F.struct(F.lit(rounds).alias("r"), "shard", "bin").alias("sequence"), "offset")
         done = kept if done is None else done.unionAll(kept)
         short, count = placed.filter(loose).select("key", "length"), left if again else 0
-    number = F.xxhash64("sequence.r", "sequence.shard", "sequence.bin")
+    # a round, its shard and its bin in one number; whole pieces are numbered below zero
+    number = F.expr("(cast(sequence.r as long) << 58) + (cast(sequence.shard as long) << 27) + sequence.bin")
     whole = pieces.filter(F.col("length") >= length)
-    whole = whole.select("*", F.xxhash64(F.lit(0), F.col("key")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = whole.select("*", (-1 - F.col("key")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if done is None:
         return whole
     done = done.select("key", number.alias("sequence_id"), "offset")
@@ -133,8 +134,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_
     on request, ids. A document's ids are the tokenizer's and then end_id; longer ones are
     cut so that only the first piece may be shorter than `length`. A null text counts as
     empty and has its end id alone. Rows with a null or repeated id are packed like others;
-    each row's pieces are its own. Sequences have no gaps; sequence_id names one and has no
-    order. Extra columns are ignored. An empty table gives an empty result.
+    each row's pieces are its own. Sequences have no gaps; sequence_id is a number of each sequence's own, without order. Extra columns are ignored. An empty table gives an empty result.
     """
     pieces = token_pieces(docs, tokenizer, length, end_id, id_col, text_col, with_ids)
     pieces = stored(pieces.withColumn("key", F.monotonically_increasing_id()), "pieces")

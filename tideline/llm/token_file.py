@@ -3,8 +3,12 @@
 Method: documents are dealt to shards by ranges of their id, and each shard writes its ids
 in ascending order into one Arrow stream whose rows are sequences of `length` ids and a mask
 of as many bits, lowest bit first (1 for an id, 0 for filling at the shard's end). Rows have equal length and
-buffers are uncompressed, so a reader that maps the file reaches sequence k by
-arithmetic, without decoding or copying. A second stream beside it lists the documents.
+buffers are uncompressed, and every batch but the last has as many rows, so a reader reaches sequence k by
+arithmetic: in a mapped file without decoding or copying, elsewhere by reading one batch. A
+second stream beside it lists the documents.
+
+There are as many shards as shuffle partitions, and more where a shard would get more than
+about `SHARD_BYTES` of text. Ids take the width that the tokenizer's largest one needs.
 
 Files go to the shared folder under a name of the attempt and are renamed when whole, so a
 task that is lost or runs twice leaves one whole file. Each task holds one batch of ids.
@@ -27,6 +31,7 @@ from ._spark import own_dir, stored
 
 LENGTH = 2048
 BATCH_ROWS = 256
+SHARD_BYTES = 64 << 20
 
 
 def schema(length: int, wide: bool) -> pa.Schema:
@@ -47,8 +52,8 @@ class SequenceWriter:
 
     def add(self, ids: bytes) -> None:
         self.waiting += ids
-        if len(self.waiting) >= 4 * self.length * BATCH_ROWS:
-            self._write(len(self.waiting) // (4 * self.length))
+        while len(self.waiting) >= 4 * self.length * BATCH_ROWS:
+            self._write(BATCH_ROWS)
 
     def _write(self, rows: int) -> None:
         upto = 4 * self.length * rows
@@ -58,7 +63,10 @@ class SequenceWriter:
             ids = np.concatenate([ids, np.zeros(rows * self.length - n, "<u4")])
         mask = np.packbits((np.arange(rows * self.length) < n).reshape(rows, -1), axis=1, bitorder="little")
         del self.waiting[:upto]
-        ids = ids.astype(self.schema.field("ids").type.value_type.to_pandas_dtype())
+        kind = np.dtype(self.schema.field("ids").type.value_type.to_pandas_dtype())
+        if n and ids.max() > np.iinfo(kind).max:
+            raise OverflowError(f"id {ids.max()} does not fit {kind}")
+        ids = ids.astype(kind)
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), n) for x, n in ((ids, self.length), (mask, mask.shape[1]))]
         self.out.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -69,22 +77,37 @@ class SequenceWriter:
 
 
 class SequenceFile:
-    """Random access to the sequences of one stream: file[k] is the ids and the mask's bits, both views of the buffer."""
+    """Random access to the sequences of one stream: file[k] is the ids and the mask's bits, both views of a batch's buffers.
+
+    source is an open file. Where it is mapped, a batch is a view of it; else the batch that holds k is read.
+    """
 
-    def __init__(self, source: pa.Buffer):
-        with pa.ipc.open_stream(source) as stream:
-            self.batches = list(stream)
-        self.first = np.concatenate([[0], np.cumsum([len(b) for b in self.batches])]).astype(np.int64)
+    def __init__(self, source: pa.NativeFile):
+        self.source = source
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(source))
+        self.begin, self.held = source.tell(), (-1, None)
+        end = source.size() - 8  # the stream ends with a marker of eight bytes
+        self.step, self.rows = 1, 0
+        if end > self.begin:
+            self.step = end - self.begin
+            self.rows = len(self._batch(0))
+            self.step = source.tell() - self.begin
+        self.batches = -(-(end - self.begin) // self.step)
+        self.total = self.rows if self.batches < 2 else (self.batches - 1) * self.rows + len(self._batch(self.batches - 1))
+
+    def _batch(self, b: int) -> pa.RecordBatch:
+        if self.held[0] != b:
+            self.source.seek(self.begin + b * self.step)
+            self.held = (b, pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema))
+        return self.held[1]
 
     def __len__(self) -> int:
-        return int(self.first[-1])
+        return self.total
 
     def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         if not 0 <= k < len(self):
             raise IndexError(k)
-        b = int(np.searchsorted(self.first, k, side="right")) - 1
-        row = k - int(self.first[b])
-        return tuple(self._flat(b, c)[row] for c in (0, 1))
+        return tuple(self._flat(k // self.rows, c)[k % self.rows] for c in (0, 1))
 
     def mask(self, k: int) -> np.ndarray:
         """Which places of sequence k hold ids."""
@@ -92,18 +115,19 @@ class SequenceFile:
         return np.unpackbits(bits, count=len(ids), bitorder="little").astype(bool)
 
     def _flat(self, batch: int, column: int) -> np.ndarray:
-        lists = self.batches[batch].column(column)
+        lists = self._batch(batch).column(column)
         return lists.flatten().to_numpy(zero_copy_only=True).reshape(len(lists), -1)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids start .. stop of the whole run."""
         if start >= stop:
             return np.zeros(0, np.uint32)
-        length = self._flat(0, 0).shape[1]
-        rows = [self[k][0] for k in range(start // length, -(-stop // length))]
-        run = rows[0] if len(rows) == 1 else np.concatenate(rows)
-        low = start // length * length
-        return run[start - low : stop - low]
+        length = self.schema.field("ids").type.list_size
+        parts = []
+        for b in range(start // length // self.rows, (stop - 1) // length // self.rows + 1):
+            flat, low = self._flat(b, 0).ravel(), b * self.rows * length
+            parts.append(flat[max(start - low, 0) : stop - low])
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def _filesystem(uri: str):
@@ -111,22 +135,29 @@ def _filesystem(uri: str):
 
 
 def read_shard(directory: str, shard: int) -> tuple[SequenceFile, pa.Table]:
-    """The sequences and the document list of a shard; local files are mapped, others read."""
+    """The sequences and the document list of a shard; local files are mapped, of others batches are read."""
     files, root = _filesystem(directory)
     name = f"{root}/shard-{shard:06d}"
     local = isinstance(files, pa.fs.LocalFileSystem)
     source = pa.memory_map(f"{name}.arrows") if local else files.open_input_file(f"{name}.arrows")
     with pa.ipc.open_stream(files.open_input_file(f"{name}.docs.arrows")) as stream:
-        return SequenceFile(source.read_buffer()), stream.read_all()
+        return SequenceFile(source), stream.read_all()
+
+
+def largest_id(tokenizer: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), default=0)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, directory: str, length: int = LENGTH, end_id: int = 1, vocabulary: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, directory: str, length: int = LENGTH, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files; returns (shard, documents, tokens) of those written.
 
-    vocabulary bounds the ids and so their width. Shards ascend with ids. A null text counts as empty and has its end id alone; rows with
+    Shards ascend with ids. A null text counts as empty and has its end id alone; rows with
     a null id come first, rows that share an id stand together in the order of their
-    texts. Extra columns are ignored. An empty table writes nothing.
+    texts' hashes, over several shards if they are many. Extra columns are ignored. An empty table writes nothing.
     """
+    wide = max(largest_id(tokenizer), end_id) >= 1 << 16
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -141,7 +172,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, directory: str, length: i
             for row, texts in text_slices(batch.column(1)):
                 if writer is None:
                     sinks = [files.open_output_stream(p) for p in parts.values()]
-                    writer, listed = SequenceWriter(sinks[0], length, wide=vocabulary > 1 << 16), pa.ipc.new_stream(sinks[1], DOCUMENTS)
+                    writer, listed = SequenceWriter(sinks[0], length, wide), pa.ipc.new_stream(sinks[1], DOCUMENTS)
                 coded = [ids + end for ids in coder.encode(texts)]
                 for ids in coded:
                     writer.add(ids)
@@ -163,8 +194,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, directory: str, length: i
     files, root = _filesystem(directory)
     files.create_dir(root, recursive=True)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = texts.repartitionByRange(shards, F.col("id")).sortWithinPartitions("id", F.xxhash64("text"), "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    ranged = texts.repartitionByRange(shards, "id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
     return ranged.mapInArrow(write, "shard int, documents long, tokens long")
 
 
