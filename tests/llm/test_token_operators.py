@@ -426,6 +426,28 @@ def test_pipeline_against_plain_steps(spark, tmp_path):
     assert sorted(map(tuple, whole.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "piece", "ids_crc32").collect()))
 
 
+def test_pipeline_without_ids_and_with_repeated_ones(spark):
+    """Each row goes by its own verdict, whatever its id."""
+    import corpus_pipeline
+
+    from .edges import prose
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    good = [prose(60) for _ in range(12)]
+    junk = "#$% " * 40
+    rows = [(k, t, "en", "a", len(t)) for k, t in enumerate(good)]
+    rows += [(None, good[3], "en", "a", 1), (None, prose(60), "en", "a", 2), (None, junk, "en", "a", 3), (5, junk, "en", "a", 4), (5, good[5] + " end", "en", "a", 5), (20, good[5], "en", "b", 6), (0, good[0], "en", "a", len(good[0]))]
+    docs = spark.createDataFrame(rows, kind)
+    by_rules = corpus_pipeline.quality_rules(spark, docs, "")
+    assert by_rules.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(map(repr, map(tuple, by_rules.collect()))) == sorted(map(repr, [r for r in rows if r[1] != junk]))
+    kept = corpus_pipeline.ngram_jaccard(spark, docs, "").collect()
+    assert sorted((key(r.doc_id), r.n_chars) for r in kept if r.text != junk and r.doc_id != 5) == sorted([(key(k), len(t)) for k, t in enumerate(good) if k != 5] + [(key(None), 2)])
+    assert len([r for r in kept if r.doc_id == 5 and r.text != junk]) == 1 and len([r for r in kept if r.text == junk]) == 1
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_digests(spark, tmp_path):
     frame(spark, awkward(), clash=False).write.parquet(str(tmp_path / "documents.parquet"))
     for r in byte_bpe.op2_byte_bpe(spark, str(tmp_path)).filter("doc_id = 3").collect():
