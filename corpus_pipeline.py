@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it kept, with the columns of
 documents; the last returns where each piece of what is left is packed.
+
+Verdicts are carried by a hash of the whole row, not by its id: rows with a null id and rows that share
+an id are each kept or dropped by their own verdict, and rows equal in all columns alike. Of
+a group of near copies the row of the least id stays, of several such rows the one
+of the least hash; a row without an id stays only where no row of its group has one. Substring dedup
+leaves rows without an id as they are. Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -21,28 +27,37 @@ from tideline.llm.substring_dedup import substring_dedup as cut_repeats
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id is listed, with the columns of documents."""
-    return docs.select(*COLUMNS).join(ids.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row"))
+
+
+def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The marked rows of docs whose mark is listed, with the columns of documents."""
+    return docs.join(rows.select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the pairwise ranking rejects; labels train it where their documents are present."""
     prepare(spark)
-    found = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, found.filter("predicted = 1"))
+    docs = _marked(docs)
+    return _only(docs, classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("row",)).filter("predicted = 1"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the rules with adaptive thresholds reject."""
     prepare(spark)
-    return _only(docs, judge(docs).filter("kept"))
+    docs = _marked(docs)
+    return _only(docs, judge(docs, carry=("row",)).filter("kept"))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least id, of each group of near copies."""
+    """Keeps one document of each group of near copies."""
     prepare(spark)
-    return _only(docs, jaccard_components(docs).filter("doc_id = component_id"))
+    docs = _marked(docs)
+    groups = jaccard_components(docs, id_col="row").select("row", "component_id").join(docs.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    kept = groups.groupBy("component_id").agg(first).select("first.row")
+    return docs.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
