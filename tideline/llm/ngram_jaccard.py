@@ -27,8 +27,9 @@ identity, so large groups of near copies cost one comparison each.
 A signature of more than `HOT_GROUP` nodes comes from a passage that many documents hold,
 or from many near copies. In the second round its nodes are not paired row by row. All nodes
 of such groups are grouped anew, by shared features in an order that puts the rarest
-first: a set of n features meets every similar one within its first n - ceil(similarity * n) + 1,
-and features that no other of these nodes has take up those places without meeting anything. So nodes
+first, as far as a sketch of `SKETCH` counts can tell: in whatever common order, a set of n
+features meets every similar one within its first n - ceil(similarity * n) + 1, and features that
+few others of these nodes have take up those places. So nodes
 that share a passage and little else drop out here. Where groups are still crowded, their
 nodes form families (whatever such groups connect), and each family is compared in
 whole, block against block, by counting shared features. Blocks hold nodes of like sizes and
@@ -56,6 +57,8 @@ SMALL_K = 32
 HOT_GROUP = 32
 #: Features of a block, about; and so of a task's memory.
 BLOCK_FEATURES = 1 << 18
+#: Slots of the sketch of how often features stand in crowded groups; a bound on what is collected.
+SKETCH = 1 << 20
 SEED = 0xA0761D6478BD642F
 CHOICES = list(itertools.combinations(range(5), 3))
 
@@ -381,13 +384,34 @@ def jaccard_components(docs: DataFrame, similarity: float = 0.75, width: int = 5
 
     def by_rarest(crowd: DataFrame) -> DataFrame:
         """(sig, part, node, n, head) of the nodes of crowd: groups, now by features, that span several components."""
-        items = crowd.join(sets, "node").dropDuplicates(["node"]).select("node", "part", "n", F.explode("set").alias("f"))
-        often = items.groupBy("f").count().filter("count > 1")
-        rare = items.join(often, "f").groupBy("node", "part", "n").agg(F.sort_array(F.collect_list(F.struct("count", "f"))).alias("fs"))
-        ahead = f"n - ({share} * n + 999) div 1000 + 1 - (n - size(fs))"  # the features without a partner stand first
-        posted = rare.withColumn("ahead", F.expr(f"cast(greatest({ahead}, 0) as int)"))
-        posted = posted.select("node", "part", "n", F.explode(F.expr("slice(fs, 1, ahead)")).alias("e")).select(F.col("e.f").alias("sig"), "part", "node", "n")
-        posted = stored(posted, "posted")
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = np.zeros(SKETCH, np.int64)
+            for batch in batches:
+                value = np.array(batch.column(0).flatten()).view(np.uint64)
+                found += np.bincount((value % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+            some = np.flatnonzero(found)
+            yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(found[some])], ["slot", "n"])
+
+        def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            often = counted.value
+            for batch in batches:
+                sizes = np.array(batch.column(3).value_lengths(), dtype=np.int64)
+                value = np.array(batch.column(3).flatten())
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                count = often[(value.view(np.uint64) % np.uint64(SKETCH)).astype(np.int64)]
+                order = np.lexsort((value, count, row))
+                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                at = order[(place < np.repeat(front(sizes, similarity), sizes)) & (count[order] > 1)]
+                whose = pa.array(row[at])
+                yield pa.record_batch([pa.array(value[at]), *(batch.column(c).take(whose) for c in (1, 0, 2))], ["sig", "part", "node", "n"])
+
+        members = stored(crowd.join(sets, "node").dropDuplicates(["node"]).select("node", "part", "n", "set"), "crowd")
+        often = np.zeros(SKETCH, np.int64)
+        for batch in members.select("set").mapInArrow(tally, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
+            often[np.array(batch.column(0))] = np.array(batch.column(1))
+        counted = docs.sparkSession.sparkContext.broadcast(often)
+        posted = stored(members.mapInArrow(fronts, "sig long, part long, node long, n long"), "posted")
         open_ = posted.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.min("node").alias("head")).filter("x < y").select("sig", "head")
         return stored(posted.join(open_, "sig").select("sig", "part", "node", "n", "head"), "placed")
 
