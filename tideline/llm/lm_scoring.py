@@ -41,11 +41,11 @@ VOCABULARY = 32_000
 BUCKETS = 256
 CLASSES = 160
 FREQUENT = 200_000
-WIDTH = 16
+WIDTH = 12
 NOISE = 4
 #: Draws that a batch shares: of classes, and of tokens of each class; NOISE is what they count for.
 SHARED_NOISE = 64
-SHARED_INNER = 24
+SHARED_INNER = 16
 BATCH_TOKENS = 16_384
 RATE = 0.15
 GROUP_TOKENS = 2_000_000
@@ -163,7 +163,8 @@ class LogBilinear:
         """Natural log-probability of each token, normalised over all token numbers."""
         n = len(self.context)
         pair, where = np.unique(tokens.before[0].astype(np.int64) * n + tokens.before[1], return_inverse=True)
-        h = self.predict(pair // n, pair % n)
+        moved = self.context @ self.place[0], self.context @ self.place[1]
+        h = moved[0][pair // n] + moved[1][pair % n]
         klass = self.klass[tokens.ids]
         out = np.empty(len(tokens.ids), np.float64)
         order = np.argsort(where, kind="stable")
