@@ -63,7 +63,7 @@ def test_index_bounds(spark):
 
 
 def test_pair_limits(spark):
-    texts = [f"original{i} synthetic{i} sentence{i} number{i}" for i in range(129)]
+    texts = [f"lantern{i} over harbour{i} {i}th evening" for i in range(129)]
     refs, query = cues("r", texts, step=9000), cues("q", texts, step=9000)
     assert match(spark, query, refs)["q"].reason == "TooManyCuePairs"
     assert match(spark, query, refs, EPISODE_PAIRS)["q"].best.score == 129

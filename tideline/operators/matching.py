@@ -155,7 +155,8 @@ def outcomes(queries: DataFrame, postings: DataFrame, limits: PairLimits = DEFAU
     status = document_status(queries)
     pairs = cue_pairs(sound_hits(shingle_hits(queries, postings), status))
     guard = pair_guard(pairs, limits).filter("exceeded").select(F.col("query").alias("doc"), F.lit("TooManyCuePairs").alias("over"))
-    found = ranked(candidates(pairs))
+    # documents with too many pairs are errors and are never aligned
+    found = ranked(candidates(pairs.join(guard.select(F.col("doc").alias("query")), "query", "left_anti")))
     struct = F.struct("rank", "ref", "score", "support", "offset_ms", "spread_ms", "evidence")
     per = found.groupBy(F.col("query").alias("doc")).agg(F.array_sort(F.collect_list(struct)).alias("candidates"), F.max(F.when(F.col("rank") == 1, F.col("next_score"))).alias("runner"))
     rows = status.join(per, "doc", "left").join(guard, "doc", "left")
