@@ -1,5 +1,6 @@
 """SubRip reading, provider records and catalog answers."""
 
+import hashlib
 import itertools
 import json
 
@@ -111,3 +112,79 @@ def test_catalog_pages(spark, tmp_path):
     seasons = [{"season_number": 1, "episodes": [{"episode_number": e, "feature_id": e, "title": f"E{e}"} for e in (1, 2, 3)]}, {"season_number": 2, "episodes": []}]
     (tmp_path / "s/x.json").write_text(json.dumps({"data": [{"id": "7", "attributes": {"title": "S", "seasons": seasons}}]}))
     assert [r.episode for r in catalog.episodes(spark, str(tmp_path / "s"), 1, 2, 3).orderBy("episode").collect()] == [2, 3]
+
+
+def listing(folder, pages, **totals):
+    folder.mkdir()
+    for k, ids in enumerate(pages, 1):
+        data = [{"id": str(i), "attributes": {"title": f"Show {i}", "feature_type": "Tvshow", "feature_id": str(i), "subtitle_id": str(i)}} for i in ids]
+        (folder / f"{k}.json").write_text(json.dumps({"page": k, **totals, "data": data}))
+    return str(folder)
+
+
+def test_cut_listings_say_so(spark, tmp_path):
+    cases = {
+        "whole": ([[1, 2], [3]], {"total_pages": 2, "total_count": 3}, 3, False),
+        "more counted": ([[1, 2], [3]], {"total_pages": 2, "total_count": 4}, 3, True),
+        "more pages": ([[k] for k in range(10)], {"total_pages": 11, "total_count": 11}, 10, True),
+        "more rows": ([range(600), range(600, 1200)], {"total_pages": 2, "total_count": 1200}, 1000, True),
+        "no totals": ([[1]], {}, 1, True),
+        "none": ([[]], {"total_pages": 0, "total_count": 0}, 0, False),
+    }
+    for name, (pages, totals, n, cut) in cases.items():
+        path = listing(tmp_path / name, pages, **totals)
+        rows = catalog.shows(spark, path).collect()
+        assert len(rows) == n and {r.truncated for r in rows} <= {cut}, name
+        if cut:
+            with pytest.raises(catalog.CatalogError, match="cut"):
+                catalog.subtitles(spark, path)
+        else:
+            assert catalog.subtitles(spark, path).count() == n
+    for name, pages, totals in (("too few", [[1]], {"total_pages": 2, "total_count": 2}), ("too many", [[1, 2]], {"total_pages": 1, "total_count": 1}), ("gap", [[1], [], [2]], {"total_pages": 3, "total_count": 2})):
+        with pytest.raises(catalog.CatalogError, match="totals"):
+            catalog.shows(spark, listing(tmp_path / name, pages, **totals))
+
+
+def test_series_display(spark, tmp_path):
+    good = {"feature_type": "TV Show", "feature_id": "77", "original_title": "Nordlicht", "imdb_id": 5, "year": "1998"}
+
+    def read(rows, imdb_id=None, **more):
+        (tmp_path / "d.json").write_text(json.dumps({**more, "data": [{"id": "77", "attributes": a} for a in rows]}))
+        return catalog.series_display(spark, str(tmp_path / "d.json"), 77, imdb_id)
+
+    assert tuple(read([good], 5).first()) == (77, "Nordlicht", 1998, 5)
+    assert catalog.display_prefix(read([good], total_pages=1)).first().prefix == "Nordlicht (1998)"
+    bare = read([good | {"original_title": "", "imdb_id": None}])
+    assert bare.first().original_title is None and catalog.display_prefix(bare).first().prefix is None
+    assert catalog.display_prefix(bare, "Aurora").first().prefix == "Aurora (1998)"
+    bad = ({"feature_id": "78"}, {"feature_type": "movie"}, {"year": "98"}, {"year": None}, {"original_title": " x"}, {"original_title": "x" * 201}, {"imdb_id": 0})
+    for rows, more in (*(([good | change], {}) for change in bad), ([], {}), ([good, good], {}), ([good], {"total_pages": 2}), ([good], {"imdb_id": 6})):
+        with pytest.raises(catalog.CatalogError):
+            read(rows, **more)
+
+
+def test_cached_entries_are_parsed_again(spark):
+    late = "1\n00:00:09,000 --> 00:00:10,000\nlate\n\n2\n00:00:03,000 --> 00:00:04,000\nearly\n"
+    raw = {"plain": TWO.encode(), "moved": late.encode()}
+    files = spark.createDataFrame([(d, bytearray(c)) for d, c in raw.items()], "path string, content binary")
+    ledger = {r.doc: r.ledger for r in records.import_records(files).collect()}
+    assert "ordering" in ledger["moved"]
+
+    def entry(doc, source, **change):
+        c = raw[source]
+        row = {"doc": doc, "content": bytearray(c), "size": len(c), "sha256": hashlib.sha256(c).hexdigest(), "ledger": ledger[source], "fetched_s": 7, "n": 1} | change
+        return tuple(row.values())
+
+    junk = b"zzz"
+    rows = [
+        entry("a", "plain"), entry("b", "moved"), entry("size", "plain", size=3), entry("digest", "plain", sha256="00"), entry("no digest", "plain", sha256=None),
+        entry("ledger", "moved", ledger=ledger["plain"]), entry("never", "plain", fetched_s=0), entry("null", "plain", ledger=None), entry(None, "plain"), entry("gone", "plain", content=None),
+        entry("junk", "plain", content=bytearray(junk), size=3, sha256=hashlib.sha256(junk).hexdigest()), entry("two", "plain"), entry("two", "moved"),
+    ]
+    schema = "doc string, content binary, size long, sha256 string, ledger string, fetched_s long, n int"
+    got = records.reload_records(spark.createDataFrame(rows, schema)).collect()
+    want = {"a": None, "b": None, "size": "ContentMismatch", "digest": "ContentMismatch", "no digest": "ContentMismatch", "ledger": "LedgerMismatch", "never": "InvalidProvenance", "null": "InvalidProvenance", None: "InvalidProvenance", "gone": "ContentMismatch", "junk": "InvalidIndex", "two": "DuplicateEntry"}
+    assert {r.doc: r.error for r in got} == want and len(got) == len(rows)
+    assert all((r.srt is None) == (r.error is not None) == (r.cues is None) for r in got)
+    assert {r.doc: r.srt.index("early") < r.srt.index("late") for r in got if r.doc == "b"} == {"b": True}
+    assert records.reload_records(spark.createDataFrame([], schema)).count() == 0

@@ -227,3 +227,28 @@ def import_records(files: DataFrame, id_col: str = "path", content_col: str = "c
 
     kinds = "doc string, srt string, cues int, records int, missing_text int, ledger string, error string, line int"
     return files.select(F.col(id_col).cast("string"), F.col(content_col).cast("binary")).mapInArrow(rows, kinds)
+
+
+def reload_records(entries: DataFrame) -> DataFrame:
+    """(doc, srt, cues, error) of cached entries, each parsed again from its raw bytes.
+
+    entries has doc, content, size, sha256, ledger (JSON as import_records writes it) and
+    fetched_s. An entry counts only if all that was stored about it comes out again:
+    otherwise srt and cues are null and error says InvalidProvenance (a null or no
+    time of fetching), ContentMismatch (size or digest), LedgerMismatch, or what the parser
+    found. Other columns are ignored; of entries that share a doc, all are DuplicateEntry,
+    as nothing tells which one was meant. An empty table gives an empty result.
+    """
+    known = ("doc", "size", "sha256", "ledger", "fetched_s")
+    per = entries.select(F.col("doc").cast("string").alias("doc"), "size", "sha256", "ledger", "fetched_s", "content")
+    # small columns alone are shuffled; each entry is parsed where it lies
+    counted = per.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1 and doc is not null").select("doc", F.lit(True).alias("twice"))
+    held = per.withColumn("fault", F.when(F.col("doc").isNull() | F.col("ledger").isNull() | F.coalesce(F.col("fetched_s") <= 0, F.lit(True)), "InvalidProvenance").when(
+        ~F.octet_length("content").eqNullSafe(F.col("size").cast("int")) | ~F.sha2("content", 256).eqNullSafe(F.col("sha256")), "ContentMismatch"))
+    tagged = held.withColumn("key", F.to_json(F.struct(*known, "fault"), {"ignoreNullFields": "false"}))
+    kind = "struct<doc:string,ledger:string,fault:string>"
+    made = import_records(tagged, "key").withColumn("was", F.from_json("doc", kind)).drop("doc")
+    made = made.select(F.col("was.doc").alias("doc"), "srt", "cues", F.coalesce("was.fault", "error", F.when(~F.col("ledger").eqNullSafe(F.col("was.ledger")), "LedgerMismatch")).alias("fault"))
+    made = made.join(counted, "doc", "left").withColumn("error", F.when(F.col("twice"), "DuplicateEntry").otherwise(F.col("fault")))
+    kept = lambda c: F.when(F.col("error").isNull(), F.col(c)).alias(c)
+    return made.select("doc", kept("srt"), kept("cues"), "error")
