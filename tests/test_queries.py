@@ -2,12 +2,12 @@
 
 import pytest
 
-from tideline.plans import matching, media, relational
+from tideline.plans import containers, matching, media, relational
 
 from .oracle import DATA, database, same_rows
 
-QUERIES = matching.QUERIES | relational.QUERIES | media.QUERIES
-ORACLE_SQL = matching.ORACLE_SQL | relational.ORACLE_SQL | media.ORACLE_SQL
+QUERIES = matching.QUERIES | relational.QUERIES | media.QUERIES | containers.QUERIES
+ORACLE_SQL = matching.ORACLE_SQL | relational.ORACLE_SQL | media.ORACLE_SQL | containers.ORACLE_SQL
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
 
 

@@ -44,7 +44,8 @@ def freeze(df: DataFrame, folder: str, scope: dict) -> str:
     fs, where = _fs(spark, path)
     if fs.exists(where):
         held, _ = published(spark, path)
-        if held.schema != df.schema or held.exceptAll(df).head() or df.exceptAll(held).head():
+        kinds = [[(f.name, f.dataType.simpleString()) for f in x.schema] for x in (held, df)]  # files do not keep what is never null
+        if kinds[0] != kinds[1] or held.exceptAll(df).head() or df.exceptAll(held).head():
             raise FileExistsError(path)
         return path
     publish(df, path, scope)
