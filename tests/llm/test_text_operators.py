@@ -371,3 +371,42 @@ def test_classifier(spark):
     none = quality_classifier.quality_classifier(docs, labels.filter("quality = 1")).select("score").distinct().collect()
     assert [round(r.score, 6) for r in none] == [0.7]
     assert quality_classifier.quality_classifier(spark.createDataFrame([], EMPTY), labels).count() == 0
+
+
+def labelled(spark, n, share):
+    """n rows of features, of which good ones lie higher, as tables of rows and labels; taught ones as arrays."""
+    rng = np.random.default_rng(n)
+    good = rng.random(n) < share
+    x = rng.standard_normal((n, len(quality_classifier.FEATURES))) * 3 + 0.4 * good[:, None] + 100
+    rows = spark.createDataFrame(pa.table({"id": pa.array(range(n)), "x": pa.array(list(x), pa.list_(pa.float64()))}))
+    taught = np.array([crc32(str(k).encode()) % 4 != 2 for k in range(n)])
+    return rows, spark.createDataFrame(pa.table({"doc_id": pa.array(range(n)), "quality": pa.array(good.astype(int))})), x[taught], good[taught]
+
+
+def test_classifier_learns_from_all_pairs(spark):
+    rows, labels, x, good = labelled(spark, 900, 0.6)
+    mean, scale = x.mean(0), x.std(0)
+    z = np.clip((x - mean) / scale, -8, 8)
+    d = (z[good][:, None] - z[~good][None]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(len(w)), d.T @ p / len(d) - 1e-3 * w)
+    for parts in (1, 5):
+        got = quality_classifier.train(rows.repartition(parts), labels).weights * scale
+        assert np.abs(got - w).max() < 1e-3 * np.abs(w).max()
+
+
+def test_classifier_threshold_is_of_all_labelled_rows(spark):
+    rows, labels, x, good = labelled(spark, 40_000, 0.5)
+    model = quality_classifier.train(rows, labels)
+    s = np.sort(x @ model.weights)
+    k = int((~good).sum())
+    assert s[k - 1] + 1e-9 < -model.bias < s[k] - 1e-9 and abs(model.bias + (s[k - 1] + s[k]) / 2) < 1e-9
+
+
+def test_order_statistics_by_counting(spark):
+    for values in ([5.0], [2.0] * 7, [-1e300, -3.0, 0.0, 5e-324, 1e-9, 1e-9, 1e-9, 7.0, 1e300], [float(x) for x in np.random.default_rng(0).zipf(1.4, 500)]):
+        table, ordered = spark.createDataFrame([(v,) for v in values], "s double"), sorted(values)
+        for k in {1, len(values) // 2, len(values) - 1} - {0, len(values)}:
+            assert quality_classifier.kth_and_next(table, k) == (ordered[k - 1], ordered[k])
