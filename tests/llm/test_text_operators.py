@@ -410,3 +410,27 @@ def test_order_statistics_by_counting(spark):
         table, ordered = spark.createDataFrame([(v,) for v in values], "s double"), sorted(values)
         for k in {1, len(values) // 2, len(values) - 1} - {0, len(values)}:
             assert quality_classifier.kth_and_next(table, k) == (ordered[k - 1], ordered[k])
+
+
+def test_hashes_are_found_by_their_leading_bits():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 7, 100, 3000):
+        for hashes in (np.arange(n, dtype=np.uint64), rng.integers(0, 2**64, n, dtype=np.uint64)):
+            hashes = np.unique(np.append(hashes, np.array([0, 2**64 - 1], np.uint64)[:n]))
+            keys = np.concatenate([hashes, rng.integers(0, 2**64, 200, dtype=np.uint64), np.arange(200, dtype=np.uint64), np.array([2**64 - 1], np.uint64)])
+            place = {int(h): k for k, h in enumerate(hashes)}
+            assert lm_scoring.Sorted(hashes).find(keys).tolist() == [place.get(int(k), -1) for k in keys]
+
+
+@pytest.mark.parametrize("size", [1, 40])
+def test_log_probs_of_small_and_large_products(size):
+    model = lm_scoring.LogBilinear(lexicon_of(50, 6))
+    model.target *= size * 10
+    model.kind *= size * 10
+    ids = np.random.default_rng(2).integers(0, 53, 300).astype(np.int32)
+    tokens = lm_scoring.Tokens.run(ids, np.array([100, 0, 200]), 53)
+    h = sum(model.context[tokens.before[k]].astype(float) @ model.place[k] for k in (0, 1))
+    plain = lambda x, own: x[np.arange(len(x)), own] - x.max(axis=1) - np.log(np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1))
+    want = plain(h @ model.kind.T + model.kind_bias, model.klass[ids])
+    inside = np.where(model.klass[None] == model.klass[ids][:, None], h @ model.target.T + model.bias, -np.inf)
+    assert np.allclose(model.log_probs(tokens), want + plain(inside, ids), atol=1e-3 * size)

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +62,35 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def buckets(words: Words) -> np.ndarray:
-    """The bucket of each word, by its last two bytes."""
-    if not len(words.starts):
+def buckets(words: Words, at=slice(None)) -> np.ndarray:
+    """The bucket of each word, or of those at some places, by its last two bytes."""
+    starts, ends = words.starts[at], words.ends[at]
+    if not len(starts):
         return np.zeros(0, np.int64)
-    last, before = words.data[words.ends - 1].astype(np.uint64), words.data[np.maximum(words.ends - 2, words.starts)].astype(np.uint64)
+    last, before = words.data[ends - 1].astype(np.uint64), words.data[np.maximum(ends - 2, starts)].astype(np.uint64)
     return (mix(last * np.uint64(256) + before + np.uint64(1)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+class Sorted:
+    """Sorted 64-bit hashes, with an index by their leading bits for the first steps of a search."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = len(hashes).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.hashes = np.append(hashes, np.uint64(2**64 - 1))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for those that are not there."""
+        at = self.begin[keys >> self.shift]
+        left = np.flatnonzero(self.hashes[at] < keys)
+        for _ in range(32):
+            at[left] += 1
+            left = left[self.hashes[at[left]] < keys[left]]
+        at[left] = np.searchsorted(self.hashes[:-1], keys[left])
+        return np.where((self.hashes[at] == keys) & (at < len(self.hashes) - 1), at, np.int32(-1))
+
+
 @dataclass
 class Tokens:
     """Token numbers of a slice in order, each text ended; before: the two tokens before each."""
@@ -115,6 +137,10 @@ class Lexicon:
         klass[order] = np.minimum((np.cumsum(root) - root) / root.sum() * classes, classes - 1).astype(np.int64)
         return cls(hashes, share / share.sum(), np.unique(klass, return_inverse=True)[1])
 
+    @cached_property
+    def table(self) -> Sorted:
+        return Sorted(self.hashes)
+
     @property
     def end(self) -> int:
         return len(self.share) - 1
@@ -125,14 +151,13 @@ class Lexicon:
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each known word, -1 for the others."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        return self.table.find(hashes)
 
     def number(self, words: Words) -> np.ndarray:
         found = self.known(words.hash)
-        return np.where(found >= 0, found, len(self.hashes) + buckets(words)).astype(np.int32)
+        other = np.flatnonzero(found < 0)
+        found[other] = len(self.hashes) + buckets(words, other)
+        return found
 
 
 class LogBilinear:
@@ -156,46 +181,61 @@ class LogBilinear:
     def parts(self) -> list[np.ndarray]:
         return [self.context, self.place, self.target, self.bias, self.kind, self.kind_bias]
 
-    def predict(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.context[one] @ self.place[0] + self.context[two] @ self.place[1]
-
     def log_probs(self, tokens: Tokens) -> np.ndarray:
         """Natural log-probability of each token, normalised over all token numbers."""
         n = len(self.context)
-        pair, where = np.unique(tokens.before[0].astype(np.int64) * n + tokens.before[1], return_inverse=True)
+        order, pair, where, edge = _grouped(tokens.before[0].astype(np.int64) * n + tokens.before[1])
         moved = self.context @ self.place[0], self.context @ self.place[1]
-        h = moved[0][pair // n] + moved[1][pair % n]
+        # one more component, for the bias
+        h = np.ones((len(pair), self.context.shape[1] + 1), np.float32)
+        np.add(moved[0][pair // n], moved[1][pair % n], out=h[:, :-1])
+        kinds = np.column_stack([self.kind, self.kind_bias])
         klass = self.klass[tokens.ids]
         out = np.empty(len(tokens.ids), np.float64)
-        order = np.argsort(where, kind="stable")
-        edge = np.searchsorted(where[order], np.arange(len(pair) + 1))
         for k in range(0, len(pair), 1024):
             rows = order[edge[k] : edge[min(k + 1024, len(pair))]]
-            out[rows] = _log_softmax(h[k : k + 1024], self.kind, self.kind_bias, where[rows] - k, klass[rows])
-        order = np.argsort(klass, kind="stable")
+            out[rows] = _log_softmax(h[k : k + 1024], kinds, where[rows] - k, klass[rows])
+        order = np.argsort(_short(klass), kind="stable")
         edge = np.searchsorted(klass[order], np.arange(len(self.kind) + 1))
         spot = np.empty(len(self.klass), np.int64)
         spot[self.order] = np.arange(len(self.klass)) - np.repeat(self.edge[:-1], np.diff(self.edge))
+        target, spot = np.column_stack([self.target, self.bias])[self.order], spot[tokens.ids]
         for c in np.flatnonzero(np.diff(edge)):
-            members = self.order[self.edge[c] : self.edge[c + 1]]
-            target, bias = self.target[members], self.bias[members]
+            members = target[self.edge[c] : self.edge[c + 1]]
             for k in range(edge[c], edge[c + 1], 1024):
                 rows = order[k : min(k + 1024, edge[c + 1])]
-                out[rows] += _log_softmax(h[where[rows]], target, bias, np.arange(len(rows)), spot[tokens.ids[rows]])
+                out[rows] += _log_softmax(h[where[rows]], members, np.arange(len(rows)), spot[rows])
         return out
 
 
-def _log_softmax(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+def _log_softmax(h: np.ndarray, vectors: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
     """Entries (row, column) of the normalised log-probabilities of h's products with all vectors."""
-    logits = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1) @ np.concatenate([vectors, bias[:, None]], axis=1).T
+    logits = h @ vectors.T
     own = logits[row, column].astype(np.float64)
     top = 0.0
-    if not -60 < logits[:, 0].min() <= logits.max() < 60:  # else sums neither overflow nor vanish
+    longest = np.einsum("ij,ij->i", h, h).max() * np.einsum("ij,ij->i", vectors, vectors).max()  # bounds squared products
+    if not longest < 60**2 and not -60 < logits[:, 0].min() <= logits.max() < 60:  # else sums neither overflow nor vanish
         top = logits.max(axis=1, keepdims=True)
         logits -= top
         top = top[row, 0]
     np.exp(logits, out=logits)
-    return own - np.log(logits.sum(axis=1))[row] - top
+    return own - np.log(logits @ np.ones(logits.shape[1], np.float32))[row] - top
+
+
+def _short(numbers: np.ndarray) -> np.ndarray:
+    """Numbers that are not negative, in 16 bits where they fit, which are sorted by counting."""
+    return numbers.astype(np.uint16) if len(numbers) and numbers.max() < 1 << 16 else numbers
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The order of keys, the distinct ones, the place of each key among them, and where each begins in the order."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.diff(keys, prepend=-1) != 0
+    where = np.empty(len(keys), np.int64)
+    where[order] = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    return order, keys[begin], where, np.append(begin, len(keys))
 
 
 class Trainer:
@@ -224,63 +264,76 @@ class Trainer:
     def _step(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> None:
         m, n = self.model, len(self.model.context)
         key, count = np.unique((one.astype(np.int64) * n + two) * n + ids, return_counts=True)
-        pair, w = key // n, key % n
+        pair, w = np.divmod(key, n)
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
         u, begin = np.cumsum(new) - 1, np.flatnonzero(new)
-        pair = pair[begin]
-        a, b = pair // n, pair % n
-        h = m.predict(a, b)
+        a, b = np.divmod(pair[begin], n)
+        left, right = m.context[a], m.context[b]
+        h = np.ones((len(a), left.shape[1] + 1), np.float32)  # one more component, for the bias
+        np.add(left @ m.place[0], right @ m.place[1], out=h[:, :-1])
         count = count.astype(np.float32) / np.float32(len(ids))
-        hu, c = h[u], m.klass[w]
+        weight = np.add.reduceat(count, begin) * np.float32(NOISE / SHARED_NOISE)
+        # from here on tokens stand by class
+        c = m.klass[w]
+        by_class = np.argsort(_short(c), kind="stable")
+        c, w, count, hu = c[by_class], w[by_class], count[by_class], h[u[by_class]]
+        first = np.flatnonzero(np.diff(c, prepend=-1))
+        present, last = c[first], np.append(first[1:], len(c))
         # classes, against draws that the whole batch shares
-        offset = np.log(NOISE * m.class_share).astype(np.float32)
-        pull = count / (1 + np.exp(np.einsum("ij,ij->i", hu, m.kind[c]) + m.kind_bias[c] - offset[c]))
+        kinds = np.column_stack([m.kind, m.kind_bias - np.log(NOISE * m.class_share).astype(np.float32)])
+        own = kinds[c]
+        pull = _odds(count, np.einsum("ij,ij->i", hu, own))[:, None]
+        du = pull * own[:, :-1]
         drawn = np.minimum(np.searchsorted(self.class_upto, self.rng.random(SHARED_NOISE)), len(m.kind) - 1)
-        weight = np.add.reduceat(count, begin) * np.float32(NOISE / SHARED_NOISE)
-        push = -weight[:, None] / (1 + np.exp(-(h @ m.kind[drawn].T + (m.kind_bias[drawn] - offset[drawn]))))
+        push = _odds(-weight[:, None], h @ -kinds[drawn].T)
         dh = push @ m.kind[drawn]
-        du = pull[:, None] * m.kind[c]
-        size = len(m.kind)
-        kind = np.stack([np.bincount(c, weights=x, minlength=size) for x in (pull[:, None] * hu).T], axis=1)
+        kind = np.zeros_like(kinds)
+        kind[present] = np.add.reduceat(pull * hu, first, axis=0)
         np.add.at(kind, drawn, push.T @ h)
-        kind_bias = np.bincount(c, weights=pull, minlength=size) + np.bincount(drawn, weights=push.sum(axis=0), minlength=size)
         # tokens, against draws that the batch's tokens of one class share
-        pull = count / (1 + np.exp(np.einsum("ij,ij->i", hu, m.target[w]) + m.bias[w] - self.offset[w]))
-        du += pull[:, None] * m.target[w]
-        by_class = np.argsort(c, kind="stable")
-        present, first = np.unique(c[by_class], return_index=True)
-        noise, last = self._draw(present), np.append(first[1:], len(c))
-        moved, away, met = np.empty((*noise.shape, m.target.shape[1]), np.float32), np.empty(noise.shape, np.float32), np.empty(noise.shape, np.float32)
-        sorted_h, sorted_count, sorted_du = hu[by_class], count[by_class] * np.float32(NOISE / SHARED_INNER), np.empty_like(hu)
-        for k, (lo, hi) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
-            q, mine = m.target[noise[k]], sorted_h[lo:hi]
-            logits = mine @ q.T + (m.bias[noise[k]] - self.offset[noise[k]])
-            push = -sorted_count[lo:hi, None] / (1 + np.exp(-logits))
-            np.matmul(push, q, out=sorted_du[lo:hi])
-            np.matmul(push.T, mine, out=moved[k])
-            push.sum(axis=0, out=away[k])
-            met[k] = sorted_count[lo:hi].sum()
-        du[by_class] += sorted_du
-        noise, away = noise.ravel(), away.ravel()
-        dh += np.add.reduceat(du, begin, axis=0)
-        place = np.stack([m.context[a].T @ dh, m.context[b].T @ dh])
+        own = np.column_stack([m.target[w], m.bias[w] - self.offset[w]])
+        pull = _odds(count, np.einsum("ij,ij->i", hu, own))[:, None]
+        du += pull * own[:, :-1]
+        noise, bounds = self._draw(present), list(zip(first.tolist(), last.tolist(), strict=True))
+        other = np.concatenate([m.target[noise], (m.bias[noise] - self.offset[noise])[..., None]], axis=2)
+        shared, minus = count * np.float32(NOISE / SHARED_INNER), np.ascontiguousarray(-other.transpose(0, 2, 1))
+        push, away, moved = np.empty((len(c), SHARED_INNER), np.float32), np.empty_like(du), np.empty_like(other)
+        for k, (lo, hi) in enumerate(bounds):
+            np.matmul(hu[lo:hi], minus[k], out=push[lo:hi])
+        _odds(-shared[:, None], push)
+        for k, (lo, hi) in enumerate(bounds):
+            np.matmul(push[lo:hi], other[k, :, :-1], out=away[lo:hi])
+            np.matmul(push[lo:hi].T, hu[lo:hi], out=moved[k])
+        du += away
+        away[by_class] = du
+        dh += np.add.reduceat(away, begin, axis=0)
+        place = np.stack([left.T @ dh, right.T @ dh])
+        met, noise = np.repeat(np.add.reduceat(shared, first), SHARED_INNER), noise.ravel()
         scale = np.float32(len(ids) ** 0.5)
-        rows, moved = _sums(np.concatenate([w, noise]), np.concatenate([np.column_stack([pull[:, None] * hu, pull]), np.column_stack([moved.reshape(len(noise), -1), away])]))
+        rows, moved = _sums(np.concatenate([w, noise]), np.concatenate([pull * hu, moved.reshape(len(noise), -1)]))
         near, turned = _sums(np.concatenate([a, b]), np.concatenate([dh @ m.place[0].T, dh @ m.place[1].T]))
         every = slice(None)
-        steps = ((near, turned), (every, place), (rows, moved[:, :-1]), (rows, moved[:, -1]), (every, kind), (every, kind_bias))
+        steps = ((near, turned), (every, place), (rows, moved[:, :-1]), (rows, moved[:, -1]), (every, kind[:, :-1]), (every, kind[:, -1]))
         for p, s, (at, g) in zip(m.parts(), self.seen, steps, strict=True):
-            g = g.astype(np.float32) * scale
-            s[at] += g * g
-            p[at] += RATE * g / np.sqrt(s[at])
+            g = g * scale
+            seen = s[at] + g * g
+            s[at] = seen
+            p[at] += RATE * g / np.sqrt(seen)
         self.met[0] += np.bincount(one, minlength=n) + np.bincount(two, minlength=n)
-        self.met[1] += np.bincount(ids, minlength=len(m.target)) + np.bincount(noise, weights=met.ravel() * len(ids) / NOISE, minlength=len(m.target))
+        self.met[1] += np.bincount(ids, minlength=len(m.target)) + np.bincount(noise, weights=met * len(ids) / NOISE, minlength=len(m.target))
         self.tokens += len(ids)
 
 
+def _odds(weight: np.ndarray, logits: np.ndarray) -> np.ndarray:
+    """weight / (1 + exp(logits)), in the place of logits."""
+    np.exp(logits, out=logits)
+    logits += 1
+    return np.divide(weight, logits, out=logits)
+
+
 def _sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct numbers in at and the sums of their rows."""
-    order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")
+    order = np.argsort(_short(at), kind="stable")
     at = at[order]
     begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     return at[begin], np.add.reduceat(rows[order], begin, axis=0)
@@ -432,22 +485,24 @@ def learn(training: DataFrame) -> Trained:
 def score_texts(texts: DataFrame, trained: Trained) -> DataFrame:
     """id, held, n_tokens, n_known, base_score and score of the rows (id, held, text)."""
     norm = trained.norm
-    shared = texts.sparkSession.sparkContext.broadcast((trained.lexicon, trained.model, *trained.often, trained.apart, trained.ends))
+    often_h, often_n = trained.often
+    shared = texts.sparkSession.sparkContext.broadcast((trained.lexicon, trained.model, Sorted(often_h), np.log10((often_n + 0.1) / norm), trained.apart, trained.ends))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, model, often_h, often_n, apart, ends = shared.value
+        lexicon, model, often, often_log, apart, ends = shared.value
         for rows, words in _slices(batches, 2):
             texts = len(rows)
             tokens = Tokens.of(words, lexicon)
             lm = np.bincount(tokens.doc, weights=model.log_probs(tokens), minlength=texts) / np.log(10)
-            at = np.minimum(np.searchsorted(often_h, words.hash), max(len(often_h) - 1, 0))
-            have = often_h[at] == words.hash if len(often_h) else np.zeros(len(at), bool)
+            at = often.find(words.hash)
+            have = at >= 0
             logs = np.zeros(len(at))
-            logs[have] = np.log10((often_n[at[have]] + 0.1) / norm)
+            logs[have] = often_log[at[have]]
             base = np.bincount(words.doc, weights=logs, minlength=texts) + np.log10((ends + 0.1) / norm)
             seen = np.bincount(words.doc[have], minlength=texts) + (ends > 0)
-            outside = lexicon.known(words.hash) < 0
-            lm += np.bincount(words.doc[outside], weights=(logs - apart[buckets(words)])[outside], minlength=texts)
+            bucket = tokens.ids[np.arange(len(at)) + words.doc] - len(lexicon.hashes)
+            outside = np.flatnonzero(bucket >= 0)
+            lm += np.bincount(words.doc[outside], weights=logs[outside] - apart[bucket[outside]], minlength=texts)
             rare = np.flatnonzero(~have)
             doc, h = words.doc[rare], words.hash[rare]
             way = np.lexsort((h, doc))
